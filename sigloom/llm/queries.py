@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import media
+from sigloom.llm import imatch, media, simhash
 from sigloom.llm.common import table
 
 
@@ -14,8 +14,16 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_media": op5_media}
+    return {"op5_media": op5_media, "op6_simhash": op6_simhash, "op9_imatch": op9_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
