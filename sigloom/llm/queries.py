@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import imatch, media, simhash
+from sigloom.llm import gam, imatch, media, packing, simhash
 from sigloom.llm.common import table
 
 
+def op4_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -18,12 +22,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_media": op5_media, "op6_simhash": op6_simhash, "op9_imatch": op9_imatch}
+    return {"op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_imatch": op9_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
