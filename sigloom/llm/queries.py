@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import gam, imatch, media, packing, simhash
+from sigloom.llm import gam, html, imatch, media, packing, simhash
 from sigloom.llm.common import table
 
 
@@ -30,8 +30,12 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_imatch": op9_imatch}
+    return {"op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_imatch": op9_imatch, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
