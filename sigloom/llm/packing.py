@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,27 +33,53 @@ from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema
 
 LENGTH, BLOCK, ISLANDS, POPULATION, GENERATIONS, POOLED = 2048, 8192, 2, 4, 6, 64
 TIGHT = 0.995
-HELD = 300_000
+HELD = 500_000
 
 
-class Chunks:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by cached chunks."""
+class Chunks(dict):
+    """Ids of white-space-free chunks as little-endian unsigned 32-bit bytes, encoded when first met.
+
+    A chunk of letters and marks is put together from its lower-cased letters and its marks, which the
+    vocabulary's splitter always parts; any other chunk is encoded as it stands."""
+
+    #: Letters that lower-casing and composition leave as they are, then marks that form one token run.
+    PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?*#$%&|]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        got = self.parts.get(text)
+        if got is None:
+            if len(self.parts) > HELD:
+                self.parts.clear()
+            got = self.parts[text] = self.encode(text)
+        return got
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        m = self.PLAIN.fullmatch(text.lower())
+        got = self.encode(text) if m is None else self.part(m[1]) + self.part(m[2]) if m[2] else self.part(m[1])
+        self[chunk] = got
+        return got
+
+    def ids(self, text: str | None) -> bytes:
+        if len(self) > HELD:
+            self.clear()
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > HELD:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+@lru_cache(maxsize=2)
+def chunks(path: str) -> Chunks:
+    """One cache for all tasks of a Python worker."""
+    return Chunks(path)
 
 
 def tokenizer_path() -> str:
@@ -68,16 +96,16 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     arrow = _arrow_schema(ITEMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, task = Chunks(path), 0, TaskContext.get().partitionId()
+        own, at, task = chunks(path), 0, TaskContext.get().partitionId()
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_PER_BATCH):
                 part = whole.slice(lo, ROWS_PER_BATCH)
                 rows = []
-                for doc, blob in zip(part.column(0).to_pylist(), ids(part.column(1).to_pylist()), strict=True):
-                    blob += b"\x00\x00\x00\x00"
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    blob = own.ids(text) + b"\x00\x00\x00\x00"
                     for k, i in enumerate(range(0, len(blob), 4 * length)):
-                        own = blob[i : i + 4 * length]
-                        rows.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own), (task << 40) + at))
+                        piece = blob[i : i + 4 * length]
+                        rows.append((doc, k, i // 4, len(piece) // 4, zlib.crc32(piece), (task << 40) + at))
                         at += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import crf, gam, html, imatch, media, packing, simhash
+from sigloom.llm import crf, gam, html, imatch, linededup, media, packing, simhash
 from sigloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("_lines_removed", "n_removed")
+
+
 def op4_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -39,7 +43,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_crf": op1_crf, "op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_imatch": op9_imatch, "op10_html": op10_html}
+    return {"op1_crf": op1_crf, "op3_line_dedup": op3_line_dedup, "op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_imatch": op9_imatch, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
