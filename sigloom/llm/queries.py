@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import crf, gam, html, imatch, linededup, media, packing, simhash
+from sigloom.llm import crf, gam, html, imatch, linededup, media, packing, simhash, substrings
 from sigloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -43,7 +47,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_crf": op1_crf, "op3_line_dedup": op3_line_dedup, "op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_imatch": op9_imatch, "op10_html": op10_html}
+    return {"op1_crf": op1_crf, "op3_line_dedup": op3_line_dedup, "op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_suffix_dedup": op8_suffix_dedup, "op9_imatch": op9_imatch, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
