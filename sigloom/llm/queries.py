@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm import crf, gam, html, imatch, linededup, media, packing, simhash, substrings
@@ -47,7 +48,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_crf": op1_crf, "op3_line_dedup": op3_line_dedup, "op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_suffix_dedup": op8_suffix_dedup, "op9_imatch": op9_imatch, "op10_html": op10_html}
+    return {"op1_crf": op1_crf, "op3_line_dedup": op3_line_dedup, "op4_gam": op4_gam, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_suffix_dedup": op8_suffix_dedup, "op9_imatch": op9_imatch, "op10_html": op10_html, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
