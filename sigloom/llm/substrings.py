@@ -37,7 +37,7 @@ from sigloom.llm.common import Cut, _arrow_schema
 from sigloom.llm.suffix import sort_suffixes
 
 LENGTH, ANCHOR = 50, 16
-GROUP, BUCKET, SHARD, HOT = 8 << 20, 1_500_000, 12 << 20, 20_000
+GROUP, BUCKET, SHARD, HOT = 8 << 20, 1_500_000, 4 << 20, 20_000
 STEP = 1 << 16
 NEVER = np.iinfo(np.int64).max
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -195,14 +195,15 @@ def sort_suffixes(t: np.ndarray, base: int = 1 << 24, budget: int = 256 << 20, v
     after = np.append(t[change], 0)
     small = np.repeat(t[starts] < after, sizes)
     small |= t == 0
-    behind = np.arange(n) - np.repeat(starts, sizes) + 1  # symbols of the run up to here
-    ahead = np.repeat(starts + sizes, sizes) - np.arange(n)  # and from here
+    place = np.int32 if n < 1 << 31 else np.int64
+    behind = (np.arange(n, dtype=place) - np.repeat(starts.astype(place), sizes)) + 1  # symbols of the run up to here
+    ahead = np.repeat((starts + sizes).astype(place), sizes) - np.arange(n, dtype=place)  # and from here
     seeds = np.flatnonzero((small & ~np.concatenate([[True], small[:-1]])) | (t == 0))
     seeds = seeds[_ranks(t, seeds, base, budget)]
     kinds = np.unique(t)
     seed_edges = np.searchsorted(t[seeds], np.append(kinds, kinds[-1] + 1), side="left") if kinds[-1] < np.iinfo(t.dtype).max else None
     ls = int((~small).sum())
-    order = np.empty(ls + len(seeds), np.int64)
+    order = np.empty(ls + len(seeds), place)
     common = np.zeros(len(order), np.uint8)
     shared = np.zeros(len(seeds), np.int64)
     if values and len(seeds) > 1:
@@ -241,14 +242,14 @@ def sort_suffixes(t: np.ndarray, base: int = 1 << 24, budget: int = 256 << 20, v
             order[s : s + len(own)] = own
             if values:
                 common[s : s + len(own)] = shared[seed_edges[i] : seed_edges[i + 1]]
-                common[s] = min(CAP, ahead[got[2, -1]], ahead[own[0]]) if k and c else 0
+                common[s] = min(CAP, int(ahead[got[2, -1]]), int(ahead[own[0]])) if k and c else 0
             induce(own, s, True)
             at = s + len(own)
         else:
             at += k
     del seeds, shared
     total = int((t != 0).sum())
-    down = np.empty(total, np.int64)
+    down = np.empty(total, place)
     shares = np.zeros(total, np.uint8)
     at = 0
     for c in kinds[::-1].tolist():
@@ -267,11 +268,11 @@ def sort_suffixes(t: np.ndarray, base: int = 1 << 24, budget: int = 256 << 20, v
             down[s : s + len(own)] = own
             if values:
                 shares[s + 1 : s + len(own)] = common[a + 1 : b][::-1]
-                shares[s] = min(CAP, ahead[got[2, -1]], ahead[own[0]]) if k else 0
+                shares[s] = min(CAP, int(ahead[got[2, -1]]), int(ahead[own[0]])) if k else 0
             induce(own, s, False)
             at = s + len(own)
         else:
             at += k
     out = np.zeros(total, np.uint8)
     out[1:] = shares[1:][::-1]
-    return down[::-1], out
+    return down[::-1].astype(np.int64), out
