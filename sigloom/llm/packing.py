@@ -33,7 +33,7 @@ from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema
 
 LENGTH, BLOCK, ISLANDS, POPULATION, GENERATIONS, POOLED = 2048, 8192, 2, 4, 6, 64
 TIGHT = 0.995
-HELD = 500_000
+HELD = 1_000_000
 
 
 class Chunks(dict):
@@ -58,7 +58,7 @@ class Chunks(dict):
     def part(self, text: str) -> bytes:
         got = self.parts.get(text)
         if got is None:
-            if len(self.parts) > HELD:
+            if len(self.parts) > HELD // 2:
                 self.parts.clear()
             got = self.parts[text] = self.encode(text)
         return got
