@@ -68,7 +68,7 @@ def reassemble(packets: DataFrame, timeout: float = 2000.0, empty: bool = False)
         key, tracker = None, None
 
         def rows(found: list[dict]) -> pd.DataFrame:
-            got = [(x["emitted"], *key, pd.Timestamp(x["first_ts"], unit="s"), pd.Timestamp(x["last_ts"], unit="s"), x["pkts"], x["status"], b"".join(x["parts"])) for x in found]
+            got = [(x["emitted"], *key, pd.Timestamp(round(x["first_ts"] * 1e6), unit="us"), pd.Timestamp(round(x["last_ts"] * 1e6), unit="us"), x["pkts"], x["status"], b"".join(x["parts"])) for x in found]
             return pd.DataFrame(got, columns=["emitted", *CONNECTION, "first_ts", "last_ts", "pkts", "status", "data"])
 
         for batch in batches:

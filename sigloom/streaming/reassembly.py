@@ -21,7 +21,7 @@ def reassemble(packets: DataFrame, timeout: float = 2000.0, delay: str = "1 minu
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def row(s: tuple, status: str) -> pd.DataFrame:
-            return pd.DataFrame([(*key, pd.Timestamp(s[0], unit="s"), pd.Timestamp(s[1], unit="s"), s[2], status, s[4])], columns=[*CONNECTION, "first_ts", "last_ts", "pkts", "status", "data"])
+            return pd.DataFrame([(*key, pd.Timestamp(round(s[0] * 1e6), unit="us"), pd.Timestamp(round(s[1] * 1e6), unit="us"), s[2], status, s[4])], columns=[*CONNECTION, "first_ts", "last_ts", "pkts", "status", "data"])
 
         now = state.get if state.exists else None
         if state.hasTimedOut:
