@@ -5,8 +5,7 @@ step each, and adds every tree to its feature's lookup table over quantile bins;
 largest remaining gain then get tables of two bins each in the same way.  A score is the logistic of the
 sum of one table entry for each feature and pair, so scoring a batch is binning and adding.
 
-Fitted on at most ``SAMPLE`` labelled rows, those with the smallest hashes of doc_id; features and scores
-cover every row.  Null and empty texts have all-zero features and a score like any other.  Null labels are
+Fitted on about ``SAMPLE`` labelled rows, chosen by a hash of doc_id; features and scores cover every row.  Null and empty texts have all-zero features and a score like any other.  Null labels are
 left out; without labels of both kinds the score is the share of label 1, or 0.5 without any.  Repeated
 doc_ids give repeated rows; other columns are ignored.
 """
@@ -195,7 +194,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     x = cut.write(feature_table(docs))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     known = labels.where("doc_id is not null and quality is not null").where(~held).select("doc_id", "quality")
-    rows = known.join(x, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").limit(sample).collect()
+    chance = min(1.0, sample / max(1, known.count()))
+    rows = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < chance * (1 << 20)).join(x, "doc_id").select("doc_id", "x", "quality").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     model = fit(np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES)), np.array([r.quality for r in rows], np.float64))
     schema = "doc_id long, held_out boolean, score double, predicted int"
     arrow = _arrow_schema(schema)
