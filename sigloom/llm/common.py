@@ -37,7 +37,7 @@ class Cut:
     """Written tables that cut lineage; ``drop`` removes one that no plan needs any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, shared_dir(spark), {}
+        self.spark, self.root, self.paths, self.names = spark, shared_dir(spark), {}, {}
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/sigloom-{uuid.uuid4().hex}"
@@ -46,9 +46,22 @@ class Cut:
         self.paths[id(out)] = (path, out)
         return out
 
+    def write_by(self, df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+        """As ``write``, in buckets of ``key``: joins and groups by it needn't shuffle the table again."""
+        name = f"sigloom_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)] = (path, out)
+        self.names[id(out)] = name
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))
+            if name := self.names.pop(id(df), None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             if path:
                 target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
