@@ -20,6 +20,18 @@ def matches(streams: DataFrame, signatures: Iterable, text: str, most: int | Non
     return counted.select("streams", rows.alias("r")).select("r.sig", "r.matched", "streams")
 
 
+def matches_of_distinct(streams: DataFrame, signatures: Iterable, text: str) -> DataFrame:
+    """As ``matches``, with signatures of one text tested once."""
+    signatures = list(signatures)
+    first: dict[str, int] = {}
+    for i, s in enumerate(signatures):
+        first.setdefault(str(s), i)
+    tested = matches(streams, [signatures[i] for i in first.values()], text)
+    at = {k: n for n, k in enumerate(first)}
+    pairs = streams.sparkSession.createDataFrame([(i, at[str(s)]) for i, s in enumerate(signatures)], "sig int, _t int")
+    return pairs.join(tested.withColumnRenamed("sig", "_t"), "_t").select("sig", "matched", "streams")
+
+
 def false_negatives(samples: DataFrame, signatures: Iterable, text: str, workload: str) -> DataFrame:
     """``(workload, sig, missed, samples)``: samples of each workload that a signature doesn't match."""
     signatures = list(signatures)

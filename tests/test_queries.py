@@ -159,6 +159,12 @@ def test_signature_columns_equal_match(spark):
         assert [r[0] for r in df.select(sig.column("t")).collect()] == [sig.match(t) for t in texts]
     got = {r.sig: r.matched for r in evaluation.matches(df, [Substring("two"), Substring("x")], "t").collect()}
     assert got == {0: 3, 1: 0}
+    again = {r.sig: r.matched for r in evaluation.matches_of_distinct(df, [Substring("two"), Substring("x"), Substring("two")], "t").collect()}
+    assert again == {0: 3, 1: 0, 2: 3}
+    ids = df.withColumn("i", F.monotonically_increasing_id())
+    assert [(r.token, r.df) for r in occurrences.best_substrings(["one two", "xone twoy"], ids, "i", "t").collect()][0][1] >= 1
+    tokens = spark.createDataFrame([(1, "one")], "k int, w string")
+    assert occurrences.approximate_frequency(ids, tokens, "i", "t", "k", "w").first().df == 4
 
 
 def test_thresholds(spark):
