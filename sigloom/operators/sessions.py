@@ -65,24 +65,28 @@ def reassemble(packets: DataFrame, timeout: float = 2000.0, empty: bool = False)
     tcp = lag_over_all(tcp, "pkt_no", "t", "before")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tracker = None, None
+        key, tracker, held = None, None, []
+        names = ["emitted", *CONNECTION, "first_ts", "last_ts", "pkts", "status", "data"]
+        at = lambda t: pd.Timestamp(round(t * 1e6), unit="us")
 
-        def rows(found: list[dict]) -> pd.DataFrame:
-            got = [(x["emitted"], *key, pd.Timestamp(round(x["first_ts"] * 1e6), unit="us"), pd.Timestamp(round(x["last_ts"] * 1e6), unit="us"), x["pkts"], x["status"], b"".join(x["parts"])) for x in found]
-            return pd.DataFrame(got, columns=["emitted", *CONNECTION, "first_ts", "last_ts", "pkts", "status", "data"])
+        def keep(found: list[dict]) -> None:
+            held.extend((x["emitted"], *key, at(x["first_ts"]), at(x["last_ts"]), x["pkts"], x["status"], b"".join(x["parts"])) for x in found)
 
         for batch in batches:
-            for p in batch.itertuples():
-                own = tuple(getattr(p, c) for c in CONNECTION)
+            before = batch["before"].to_numpy()
+            for i, p in enumerate(zip(*(batch[c] for c in (*CONNECTION, "pkt_no", "t", "status", "payload")), strict=True)):
+                own, (no, t, status, payload) = p[:4], p[4:]
                 if own != key:
-                    if tracker and (last := tracker.flush(end.t, end.n)):
-                        yield rows(last)
+                    if tracker:
+                        keep(tracker.flush(end.t, end.n))
                     key, tracker = own, Tracker(timeout)
-                before = None if pd.isna(p.before) else p.before
-                if found := tracker.packet(p.pkt_no, p.t, p.status, bytes(p.payload or b""), before):
-                    yield rows(found)
-        if tracker and (last := tracker.flush(end.t, end.n)):
-            yield rows(last)
+                keep(tracker.packet(no, t, status, bytes(payload or b""), None if pd.isna(before[i]) else before[i]))
+                if len(held) >= 2000:
+                    yield pd.DataFrame(held, columns=names)
+                    held.clear()
+        if tracker:
+            keep(tracker.flush(end.t, end.n))
+        yield pd.DataFrame(held, columns=names)
 
     ready = tcp.select(*CONNECTION, "pkt_no", "t", "before", "status", "payload").repartition(*CONNECTION).sortWithinPartitions(*CONNECTION, "pkt_no")
     streams = ready.mapInPandas(run, STREAMS)
