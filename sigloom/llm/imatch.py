@@ -202,5 +202,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield out(held)
 
-    ready = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "k", "text")
+    ready = dealt.repartitionById(2 * parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", "k", "text")
     return ready.mapInArrow(run, SCHEMA)
