@@ -182,6 +182,16 @@ def test_lines(spark, monkeypatch, paired):
     assert sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()), key=str) == brute_lines(rows)
 
 
+def linked(spark, *lines):
+    rows = list(enumerate(lines))
+    got = linededup.dedup_lines(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_lines(rows)
+
+
+def test_lines_of_few_words(spark):
+    linked(spark, "Newsletter", "Newsletter!", "Subscribe to our newsletter", "Subscribe to our newsletters", "Read more", "Read more.", "abcdef", "abcde")
+
+
 def test_lines_of_nothing(none):
     assert linededup.dedup_lines(none).count() == 0
 
