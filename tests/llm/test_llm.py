@@ -192,6 +192,22 @@ def test_lines_of_few_words(spark):
     linked(spark, "Newsletter", "Newsletter!", "Subscribe to our newsletter", "Subscribe to our newsletters", "Read more", "Read more.", "abcdef", "abcde")
 
 
+def test_lines_by_prefix(spark):
+    rng = random.Random(8)
+    lines = []
+    for _ in range(12):
+        base = words(rng, 20)
+        other = list(base)
+        for at in (len(base) // 3, 2 * len(base) // 3):
+            other[at] = "Z"
+        lines += [base, "".join(other), base + " " + words(rng, 30)]
+    lines += ["abcdeabcdeabcde", "abcdeabcdeabcdeabcde"]  # one set of shingles
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    want = {(b, a) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = linededup.prefix_pairs(spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "id long, root long, line string"))
+    assert len(want) > 10 and want <= {(r.b, r.a) for r in got.collect()}
+
+
 def test_lines_of_nothing(none):
     assert linededup.dedup_lines(none).count() == 0
 
