@@ -208,6 +208,12 @@ def test_lines_by_prefix(spark):
     assert len(want) > 10 and want <= {(r.b, r.a) for r in got.collect()}
 
 
+def test_lines_of_long_words(spark):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(19)) for _ in range(8)]
+    linked(spark, " ".join(long), " ".join(x[:9] + "Z" + x[10:] if i in (1, 4, 6) else x for i, x in enumerate(long)), " ".join(x[:9] + "Q" + x[10:] for x in long))
+
+
 def test_lines_of_nothing(none):
     assert linededup.dedup_lines(none).count() == 0
 
