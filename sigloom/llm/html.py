@@ -1,12 +1,14 @@
 """Main text of web pages by template deduction from token equivalence classes.
 
-A token is a tag in its place: its name with class and id, below its container elements.  For each host
+A token is a tag in its place: its name with class and id, below its container elements.  Runs of digits in class and
+id count as one sign, and those of html, body, article and main are left out, as they name the page.  For each host
 every token's occurrence vector over the host's pages is summed up in a commutative hash, so the vectors
 of any number of pages are compared without being gathered.  Tokens with one vector form an equivalence
 class; classes on at least ``SHARE`` of the host's pages (and two of them) are valid.  Sorted by support
 and place, and nested by their containers, they are the host's template; the stretches of text between
-its tokens are slots.  The slot with most text outside boilerplate elements is the host's main slot, and
-a page's text is what the page has there.  A page whose host has no template, or that lacks the main
+its tokens are slots.  The host's main slot is its articles or main element, if they hold a quarter of the text outside
+boilerplate elements, or else the lowest container of all that text; containers count the text of everything below
+them, be it in the template or not.  A page's text is what the page has in the main slot.  A page whose host has no template, or that lacks the main
 slot, is judged by its own tokens alone.
 
 Text tokens never enter a template, so a sentence that all of a host's pages share stays.  Null or empty
@@ -33,6 +35,8 @@ SHARE, SMALL_MB, SALTS = 0.3, 8, 32
 
 #: Elements by what they do to text (fixed values).
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "table", "td", "ul", "ol", "dl", "figure", "blockquote", "details", "dialog", "fieldset", "menu"}
+#: What may be a slot, and what stands for itself whatever its class and id.
+SLOTS, PLAIN = {"html", "body", "article", "main", "section", "div"}, {"html", "body", "article", "main"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "pre", "br", "hr", "figcaption", "address", "summary", "caption", "legend", "title", "option"}
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "select", "title", "xmp"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "track", "area", "base", "col", "embed"}
@@ -44,6 +48,7 @@ NAMES = re.compile(
     re.I,
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+DIGITS = re.compile(r"\d+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 
 
@@ -53,7 +58,7 @@ def _label(name: str, attributes: str) -> tuple[str, bool]:
     own = " ".join(x for x in (got.get("class"), got.get("id")) if x)
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
     bad = name in BOILERPLATE or hidden or got.get("role", "").lower() in ROLES or bool(own and name not in ("html", "body", "article", "main") and NAMES.search(own))
-    return name + "".join(f".{x}" for x in sorted(own.split())), bad
+    return name + ("" if name in PLAIN else "".join(f".{x}" for x in sorted(set(DIGITS.sub("#", own).split())))), bad
 
 
 def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
@@ -113,24 +118,26 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
     return tokens, blocks
 
 
-def main_path(chars: dict[str, int]) -> str:
-    """The slot that holds the text: the deepest container with at least half of it, but no deeper than article or main."""
-    total = sum(chars.values())
+def _above(path: str) -> Iterator[str]:
+    """The path and its containers, from within."""
+    while path:
+        yield path
+        path = path.rpartition(">")[0]
+
+
+def main_path(whole: dict[str, int], total: int) -> str:
+    """The slot that holds the text, from the characters in and below containers: the lowest container of all articles, or
+    of main elements, with a quarter of the ``total``; without them, of all text."""
     if not total:
         return ""
-    whole: dict[str, int] = {}
-    for path, n in chars.items():
-        at = path
-        while at:
-            whole[at] = whole.get(at, 0) + n
-            at = at.rpartition(">")[0]
-    named = {p: n for p, n in whole.items() if p.rpartition(">")[2].split(".")[0] in ("article", "main")}
-    if named and max(named.values()) * 4 >= total:
-        outer = {p: n for p, n in named.items() if not any(q != p and p.startswith(q + ">") for q in named if "article" in q.rpartition(">")[2])}
-        articles = {p: n for p, n in outer.items() if p.rpartition(">")[2].startswith("article")} or outer
-        return max(articles, key=lambda p: (articles[p], p))
-    half = [p for p, n in whole.items() if 2 * n >= total]
-    return max(half, key=lambda p: (p.count(">"), whole[p], p)) if half else ""
+    tag = {p: p.rpartition(">")[2].split(".")[0] for p in whole}
+    named = {p for p in whole if tag[p] in ("article", "main") and whole[p]}
+    outer = {p for p in named if not any(tag.get(q) == "article" for q in _above(p.rpartition(">")[0]))}
+    outer = {p for p in outer if tag[p] == "article"} or outer
+    if sum(whole[p] for p in outer) * 4 >= total and outer:
+        inside = [set(_above(p)) for p in outer]
+        return max((p for p in set.intersection(*inside) if tag.get(p) in SLOTS), key=len, default="")
+    return max((p for p, n in whole.items() if n >= total and tag[p] in SLOTS), key=len, default="")
 
 
 def _inside(path: str, main: str) -> bool:
@@ -142,10 +149,11 @@ def text_of(page: str | None, main: str | None = None) -> str:
     _, blocks = parse(page)
     good = [(p, t) for p, bad, t in blocks if not bad]
     if not main or not any(_inside(p, main) for p, _ in good):
-        chars: dict[str, int] = {}
+        whole: dict[str, int] = {}
         for p, t in good:
-            chars[p] = chars.get(p, 0) + len(t)
-        main = main_path(chars)
+            for at in _above(p):
+                whole[at] = whole.get(at, 0) + len(t)
+        main = main_path(whole, sum(len(t) for _, t in good))
     return "\n".join(t for p, t in good if _inside(p, main))
 
 
@@ -158,8 +166,8 @@ COUNTS = "host string, token string, support long, vector long, place double, ch
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """By host and token: pages, hashed occurrence vector, mean place, characters of text directly below; and by host
-    (empty token) its number of pages.  ``pages (key, url, html)``; each task adds up what it reads."""
+    """By host and token: pages, hashed occurrence vector, mean place, characters of text in and below; and by host
+    (empty token) its number of pages and all characters.  ``pages (key, url, html)``; each task adds up what it reads."""
     arrow = _arrow_schema(COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +187,11 @@ def token_counts(pages: DataFrame) -> DataFrame:
                     own = seen.setdefault(t, [0, k, 0])
                     own[0] += 1
                 for path, bad, text in blocks:
-                    if not bad and path in seen:
-                        seen[path][2] += len(text)
+                    if not bad:
+                        seen[""][2] += len(text)
+                        for p in _above(path):
+                            if p in seen:
+                                seen[p][2] += len(text)
                 for t, (n, first, chars) in seen.items():
                     x = held.setdefault((host, t), [0, 0, 0.0, 0])
                     x[0] += 1
@@ -204,6 +215,7 @@ def _wrapped_sum(column: str):
 
 def deduce(rows: pd.DataFrame) -> tuple[str, list[dict]]:
     """Main slot and template of a host from its tokens' counts (``token, support, vector, place, chars``)."""
+    total = int(rows.loc[rows["token"] == "", "chars"].sum())
     rows = rows[rows["token"] != ""]
     classes = []
     for (support, vector), g in rows.groupby(["support", "vector"]):
@@ -216,7 +228,7 @@ def deduce(rows: pd.DataFrame) -> tuple[str, list[dict]]:
         c["within"] = around[-1] if around else -1
     valid = {t for c in classes for t in c["tokens"]}
     slots = rows[rows["token"].isin(valid)]
-    return main_path(dict(zip(slots["token"], slots["chars"].astype(int), strict=True))), classes
+    return main_path(dict(zip(slots["token"], slots["chars"].astype(int), strict=True)), total), classes
 
 
 def templates(pages: DataFrame) -> DataFrame:

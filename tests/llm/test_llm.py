@@ -494,6 +494,18 @@ def test_pages_of_many_hosts(spark, monkeypatch):
     assert sorted(html.extract(df).collect(), key=str) == want
 
 
+def test_html_slots(spark):
+    text = lambda i: f"Text of article {i} that is its own and long enough"
+    ids = [(i, f"http://ids/{i}", f'<body class="postid-{i} x{"abcdef"[i]}"><div id="page"><article id="slug-{"abcdef"[i]}">{text(i)}</article><div class="author-bio">Who wrote it</div></div></body>') for i in range(6)]
+    slugs = [(10 + i, f"http://slugs/{i}", f'<body><div id="page"><div id="{"abcdef"[i]}"><p>{text(i)}</p></div><div class="author-bio">Who wrote it</div></div></body>') for i in range(6)]
+    single = [(20, "http://one/", f"<div><p>{text(20)}</p><ul><li>{text(21)} and some more of it<li>z</ul></div>"), (21, "http://two/", f"<main><article id=a>{text(1)}</article><article id=b>{text(2)}</article></main>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(ids + slugs + single, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == text(i)
+        assert got[10 + i] == f"{text(i)}\nWho wrote it"
+    assert got[20].startswith(text(20)) and text(21) in got[20] and got[21] == f"{text(1)}\n{text(2)}"
+
+
 # The pipeline
 
 
