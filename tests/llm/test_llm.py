@@ -138,6 +138,18 @@ def test_round_trip(docs, none):
     assert sorted(sentences.encode(docs, seed=1).collect(), key=str) != sorted(sentences.encode(docs, seed=2).collect(), key=str)
 
 
+def test_occurrences_are_segmented_apart(spark):
+    text = " ".join(["internationalization"] * 300) + " " + "x" * 40
+    df = spark.createDataFrame([(i, text) for i in range(2)], "doc_id long, text string")
+    a, b = (tuple(r.pieces) for r in sentences.encode(df).orderBy("doc_id").collect())
+    own = sentences.Pieces(sentences.model_path())
+    ways = lambda p: {tuple(w.split("|")) for w in "|".join(own.bytes[i].decode() for i in p).split("| ")}
+    assert a != b and len(ways(a)) > 5 and len(ways(a) | ways(b)) > len(ways(a))
+    again, known = [text, "a▁b  lead 日本\x00 " + text], {}
+    first = own.encode(again, [5, 6], known=known)
+    assert own.encode(again, [5, 6], known=known) == first == [own.encode([t], [o])[0] for t, o in zip(again, (5, 6), strict=True)]
+
+
 # 3
 
 
