@@ -166,7 +166,7 @@ def pack(docs: DataFrame) -> DataFrame:
             t = t.take(pa.array(order))
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()]
             sink = io.BytesIO()
-            rest = t.drop_columns(["text"]).append_column("_null", pa.array([x is None for x in t.column("text").to_pylist()]))
+            rest = t.set_column(t.schema.get_field_index("text"), "text", pa.array([x is None for x in t.column("text").to_pylist()]))
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
             row = (number, ids[order].tobytes(), np.array([len(x) for x in texts], np.int64).tobytes(), squeeze(b"".join(texts)), squeeze(sink.getvalue()))
@@ -384,9 +384,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             g = Group(r.ids, r.sizes, r.text, length)
             gone = removed(g, rows, shards, length)
             rest = pa.ipc.open_stream(unsqueeze(r.rest)).read_all()
-            null = rest.column("_null").to_pylist()
+            null = rest.column("text").to_pylist()
             texts = [None if z else g.text[e - n : e][~gone[e - n : e]].tobytes().decode("utf-8", "ignore") for z, e, n in zip(null, g.ends.tolist(), g.sizes.tolist(), strict=True)]
-            rest = rest.append_column("text", pa.array(texts, pa.string()))
+            rest = rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             if "n_chars" in names:
                 rest = rest.set_column(rest.schema.get_field_index("n_chars"), "n_chars", pa.array([None if x is None else len(x) for x in texts], rest.schema.field("n_chars").type))
             out.append(rest.select(names).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get))
