@@ -18,7 +18,7 @@ from sigloom.llm.common import Cut  # noqa: E402
 from sigloom.llm.components import connected  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-EXTRA = ["k", "pos", "id", "g", "key", "bucket", "root", "line", "hub", "fp", "_null", "n_chars"]
+EXTRA = ["k", "pos", "id", "g", "key", "bucket", "root", "line", "hub", "fp", "_null", "_gone", "_k", "_text", "_lines_removed", "row", "lines", "gone", "t", "keys", "n_chars"]
 
 
 def words(rng, n):
