@@ -37,7 +37,7 @@ from sigloom.llm.common import Cut, _arrow_schema
 from sigloom.llm.suffix import sort_suffixes
 
 LENGTH, ANCHOR = 50, 16
-GROUP, BUCKET, SHARD, HOT = 8 << 20, 1_500_000, 4 << 20, 20_000
+GROUP, BUCKET, SHARD, HOT, QUEUES = 6 << 20, 1_500_000, 2 << 20, 20_000, 2 << 20
 STEP = 1 << 16
 NEVER = np.iinfo(np.int64).max
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -53,6 +53,12 @@ def unsqueeze(x: bytes, kind=None) -> bytes | np.ndarray:
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
+def stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each stretch of equal values: only those that are there, however many there could be."""
+    cuts = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(values)], strict=True) if len(values) else iter(())
+
+
 def anchors(t: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings of ``length`` with one owner: owner's hash (48 bits), first start, number of starts, document.
     ``t``: the bytes of documents that end before ``ends``."""
@@ -223,8 +229,7 @@ def _owners(groups: DataFrame, buckets: int, length: int) -> DataFrame:
                 at = ((values >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 counts = (np.minimum(n, 127) | (several.astype(np.int64) << 7)).astype(np.uint8)
                 six = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6]
-                edges = np.searchsorted(at, np.arange(buckets + 1))
-                rows = [(k, r["g"], six[x:y].tobytes(), counts[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                rows = [(int(at[x]), r["g"], six[x:y].tobytes(), counts[x:y].tobytes()) for x, y in stretches(at)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     return groups.select("g", "ids", "sizes", "text").mapInArrow(run, schema)
@@ -265,16 +270,19 @@ def _sort(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     t = np.frombuffer(b"\xff".join(seen) + b"\xff", np.uint8) + np.uint8(1)
     sizes = np.fromiter(map(len, seen), np.int64, len(seen))
     del seen
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     ends = np.cumsum(sizes + 1) - 1
-    places, common = sort_suffixes(t, cap=length)
-    classes = np.cumsum(common < length) - 1
-    ok = places + length <= ends[owner[places]]
-    places, classes = places[ok], classes[ok]
+    places, common = sort_suffixes(t, budget=QUEUES, cap=length)
+    classes = np.cumsum(common < length, dtype=np.int32)
+    del common
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[places]
+    ok = places + length <= ends[owner]
+    places, classes, owner = places[ok], classes[ok], owner[ok]
     cuts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if len(classes) else np.zeros(0, np.int64)
-    mins = np.minimum.reduceat(least[owner[places]], cuts)
+    mins = np.minimum.reduceat(least[owner], cuts)
+    del classes, owner, ok
     best = np.empty(len(t), np.int64)
     best[places] = np.repeat(mins, np.diff(np.append(cuts, len(places))))
+    del places
     first = ends - sizes
     strings = sizes - length + 1
     data, more = [], []
@@ -333,13 +341,11 @@ def _prepare(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
             values, _, _, back = g.owners()
             low, count, doc, _, first, shard = g.snippets(_flags(rows, len(values)), back, shards, length)
             order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
             raw = g.text.tobytes()
-            for s, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-                if y > x:
-                    own = first[order[x:y]]
-                    spans = zip(low[own].tolist(), (low[own] + count[own] + length - 1).tolist(), strict=True)
-                    out.append((s, r.g, squeeze(g.ids[doc[own]]), count[own].astype(np.uint8).tobytes(), squeeze(b"".join([raw[a:b] for a, b in spans]))))
+            for x, y in stretches(shard[order]):
+                own = first[order[x:y]]
+                spans = zip(low[own].tolist(), (low[own] + count[own] + length - 1).tolist(), strict=True)
+                out.append((int(shard[order[x]]), r.g, squeeze(g.ids[doc[own]]), count[own].astype(np.uint8).tobytes(), squeeze(b"".join([raw[a:b] for a, b in spans]))))
         return pd.DataFrame(out, columns=["shard", "g", "ids", "sizes", "text"])
 
     slim = groups.select("g", "ids", "sizes", "text")

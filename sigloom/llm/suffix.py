@@ -27,8 +27,8 @@ CAP = 255
 class Queues:
     """Tuples by symbol, each queue in the order of pushing; the largest go to disk when over budget."""
 
-    def __init__(self, budget: int):
-        self.budget, self.held, self.parts, self.file, self.spilled = budget, 0, {}, None, 0
+    def __init__(self, budget: int, kind: type = np.int64):
+        self.budget, self.kind, self.held, self.parts, self.file, self.spilled = budget, kind, 0, {}, None, 0
 
     def push(self, symbols: np.ndarray, run: int, keys: np.ndarray, places: np.ndarray) -> None:
         if not len(symbols):
@@ -38,7 +38,7 @@ class Queues:
         cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
         edges = [0, *cuts.tolist(), len(symbols)]
         for a, b in zip(edges, edges[1:], strict=False):
-            part = np.empty((3, b - a), np.int64)
+            part = np.empty((3, b - a), self.kind)
             part[0], part[1], part[2] = run, keys[a:b], places[a:b]
             self.parts.setdefault(int(symbols[a]), []).append(part)
             self.held += part.nbytes
@@ -70,10 +70,10 @@ class Queues:
                 self.held -= p.nbytes
             else:
                 self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(24 * p[1]), np.int64).reshape(3, -1)
+                p = np.frombuffer(self.file.read(3 * np.dtype(self.kind).itemsize * p[1]), self.kind).reshape(3, -1)
             got.append(p)
         if not got:
-            return np.empty((3, 0), np.int64)
+            return np.empty((3, 0), self.kind)
         out = np.concatenate(got, axis=1) if len(got) > 1 else got[0]
         if out[0, 0] == out[0, -1] and (out[0] == out[0, 0]).all():
             return out
@@ -208,7 +208,7 @@ def sort_suffixes(t: np.ndarray, base: int = 1 << 24, budget: int = 256 << 20, v
     shared = np.zeros(len(seeds), np.int64)
     if values and len(seeds) > 1:
         shared[1:] = _direct(t, seeds[:-1], seeds[1:], cap)
-    queues = Queues(budget)
+    queues = Queues(budget, place)
 
     def induce(places: np.ndarray, first: int, larger: bool) -> None:
         """Push the runs before these suffixes, if of a larger (smaller) symbol."""
@@ -275,4 +275,4 @@ def sort_suffixes(t: np.ndarray, base: int = 1 << 24, budget: int = 256 << 20, v
             at += k
     out = np.zeros(total, np.uint8)
     out[1:] = shares[1:][::-1]
-    return down[::-1].astype(np.int64), out
+    return down[::-1], out
