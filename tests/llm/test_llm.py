@@ -514,10 +514,24 @@ def test_html_slots(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(ids + slugs + single, "page_id long, url string, html string")).collect()}
     for i in range(6):
         assert got[i] == text(i)
-        assert got[10 + i] == f"{text(i)}\nWho wrote it"
+        assert got[10 + i] == text(i)  # a box with the same text on all pages belongs to the template
     assert got[20].startswith(text(20)) and text(21) in got[20] and got[21] == f"{text(1)}\n{text(2)}"
 
 
+def test_html_names_and_nesting(spark):
+    text = lambda i: f"Text of article {i} that is its own and long enough"
+    wrap = lambda c, i: f"<html><body><nav>menu</nav><div class='{c}'><p>{text(i)}</p><math><mi>x</mi></math><svg><text>label {i}</text></svg></div><p class='ad'>buy<div class='zone'>Our fixed notice</div><footer>f</footer></body></html>"
+    rows = [(i, f"http://widget/{i}", wrap("widget", i)) for i in range(5)] + [(10 + i, f"http://related/{i}", wrap("article related", i)) for i in range(5)]
+    rows += [(20, "http://alone/", f"<div class=widget>{text(20)}</div>"), (21, "http://list/", f"<ul><li class=share>share<li>{text(21)}</ul>")]
+    rows += [(30, "http://deep/", "<div>" * 100_000 + text(30)), (31, "http://deep/", ("<div>x" * 50_000) + "</div>" * 50_000)]
+    rows += [(40 + i, "http://copies/", f"<div><section><p>{text(40)}</p></section><section>same</section></div>") for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == got[10 + i] == f"{text(i)}\nxlabel {i}"
+        assert i == 4 or got[40 + i] == f"{text(40)}\nsame"
+    assert got[20] == text(20) and got[21] == text(21) and got[30] == text(30) and got[31].count("x") == 50_000
+
+
 # The pipeline
 
 
