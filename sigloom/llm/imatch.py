@@ -2,14 +2,17 @@
 
 The lexicon is the terms (lower-cased runs of word characters) whose document frequency lies in a band:
 at least ``LEAST`` and at most ``MOST`` of all documents, i.e. a band of inverse document frequency.
-Frequencies are counted over all documents.  The lower end is raised, if need be, to the sum of all
-frequencies over ``LEXICON``; as each lexicon term accounts for at least the lower end of that sum, the
-lexicon has at most ``LEXICON`` terms whatever the corpus, which bounds what is broadcast.
-
-A fingerprint hashes the sorted distinct lexicon terms of a text under 4 levels of 32 random lexicon
-subsets each; a subset of level k holds 4**-k / 32 of the lexicon.  Likeness compares the level at which
-a subset holds about one of the longer text's terms: the share of equal hashes among the subsets that
-are not empty in both.  A text with under ``FEW`` lexicon terms uses all its terms.
+Frequencies are counted over all documents.  As each lexicon term stands in ``LEAST`` of the documents, the lexicon
+has at most ``1 / LEAST`` times as many terms as a document has distinct ones on average, however large the corpus
+is, which bounds what is broadcast (below ``2 / LEAST`` documents: half as many as all documents have).
+
+A fingerprint hashes the sorted distinct lexicon terms of a text in ``SUBSETS`` independent random subsets of the
+lexicon, 64 bits each; a subset at level k keeps a term with a chance of 2**-k, and the subsets of level k + 1 lie in those
+of level k.  A text has the hashes of its own level, where a subset holds about one of its terms (short texts: all or half
+of the lexicon), and of the next one; level 0, the whole lexicon, is enough to tell whether two texts are equal but any
+edit changes it.  Likeness is the share of equal hashes, at the greater of both levels, among the subsets that
+aren't empty in both texts; texts whose levels are further apart than one, i.e. of very different sizes, have none.
+A text with under ``FEW`` lexicon terms uses all its terms.
 
 Null texts count as empty.  Null doc_ids come first in the order, ties are ordered by text; a single
 document is its own neighbour; an empty table gives no rows.  Other columns are ignored.
@@ -30,11 +33,10 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema
 
-LEAST, MOST, LEXICON, FEW = 1 / 2000, 1 / 10, 1_000_000, 4
-LEVELS, SUBSETS = 4, 32
+LEAST, MOST, FEW, SUBSETS = 1 / 2000, 1 / 10, 4, 24
 HELD = 400_000
-#: Odd multipliers of the four levels (fixed values).
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Odd multipliers (fixed values): of subsets, of the mixing and of places in a sorted sequence.
+A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 WORD = re.compile(r"\w+")
 
 
@@ -68,66 +70,88 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms within the band; at most ``LEXICON``."""
+    """Sorted hashes of the terms within the band."""
     cut = Cut(docs.sparkSession)
     n = docs.count()
     counts = cut.write(term_counts(docs).where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    low, high = max(2, n * LEAST, total / LEXICON), n * MOST
+    low, high = max(2, n * LEAST), n * MOST
     found = counts.where(F.col("n").between(low, high)).select("term").toArrow().column("term").to_numpy()
     cut.drop(counts)
     return np.sort(found)
 
 
+def selected(text: str, lex: frozenset, known: dict) -> list[int]:
+    """Sorted hashes of a text's distinct terms that count."""
+    all_terms, got = terms(text), []
+    for t in all_terms:
+        h = known.get(t)
+        if h is None:
+            if len(known) > HELD:
+                known.clear()
+            h = _hash(t)
+            known[t] = h = h if h in lex else False
+        if h is not False:
+            got.append(h)
+    return sorted(got if len(got) >= FEW else map(_hash, all_terms))
+
+
+def level_of(n: int) -> int:
+    """The level at which a subset holds about one of ``n`` terms."""
+    return (max(n, 1) - 1).bit_length()
+
+
+def in_subset(h: np.ndarray, subset: int) -> np.ndarray:
+    """A number for each term; the subset holds it at level k if the number is under 2**(64 - k)."""
+    x = (h ^ (np.uint64(subset + 1) * A)) * B
+    x ^= x >> np.uint64(31)
+    x *= A
+    return x ^ (x >> np.uint64(29))
+
+
 def prints(texts: list[str], lex: frozenset, known: dict) -> np.ndarray:
-    """(texts, 1 + LEVELS * SUBSETS): the level to compare at, then the subsets' hashes, 0 for an empty one."""
-    parts, owner = [], []
-    for i, text in enumerate(texts):
-        all_terms = terms(text)
-        got = []
-        for t in all_terms:
-            h = known.get(t)
-            if h is None:
-                if len(known) > HELD:
-                    known.clear()
-                h = _hash(t)
-                known[t] = h = h if h in lex else False
-            if h is not False:
-                got.append(h)
-        if len(got) < FEW:
-            got = [_hash(t) for t in all_terms]
-        got.sort()
-        parts += got
-        owner.append(len(got))
-    h = np.array(parts, np.int64).view(np.uint64)
-    at = np.repeat(np.arange(len(texts)), owner)
-    out = np.zeros((len(texts), 1 + LEVELS * SUBSETS), np.int64)
-    sizes = np.array(owner, np.int64)
-    out[:, 0] = np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / SUBSETS) / 2), 0, LEVELS - 1)
-    for k in range(LEVELS):
-        x = h * MIX[k]
-        x ^= x >> np.uint64(29)
-        x *= MIX[(k + 1) % LEVELS]
-        keep = (x >> np.uint64(64 - 2 * k)) == 0 if k else np.ones(len(x), bool)
-        slot = at[keep] * SUBSETS + ((x[keep] >> np.uint64(40)) % SUBSETS).astype(np.int64)
-        value = (x[keep] & np.uint64(0xFFFFF)).astype(np.float64) + 1  # sums stay exact
-        sums = np.bincount(slot, value, len(texts) * SUBSETS).astype(np.int64)
-        out[:, 1 + k * SUBSETS : 1 + (k + 1) * SUBSETS] = np.where(sums > 0, sums * 2654435761 % 4095 + 1, 0).reshape(len(texts), SUBSETS)
+    """(texts, 1 + 2 * SUBSETS): the level, then the subsets' hashes at it and at the next one, 0 for an empty subset."""
+    parts = [selected(t, lex, known) for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    h = np.array([x for p in parts for x in p], np.int64).view(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    out = np.zeros((len(texts), 1 + 2 * SUBSETS), np.uint64)
+    out[:, 0] = [level_of(int(n)) for n in sizes]
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max(initial=0)), C)]))
+    limits = [np.uint64((1 << 64 - k) - 1) for k in range(64)]
+    own = np.array([limits[int(k)] for k in out[:, 0]], np.uint64)[owner]
+    for j in range(SUBSETS):
+        x = in_subset(h, j)
+        for step, limit in enumerate((own, own >> np.uint64(1))):
+            at = np.flatnonzero(x <= limit)
+            whose = owner[at]
+            counts = np.bincount(whose, minlength=len(texts))
+            some = np.flatnonzero(counts)
+            if not len(some):
+                continue
+            starts = (np.cumsum(counts) - counts)[some]
+            place = np.arange(len(at)) - np.repeat(starts, counts[some])
+            value = np.add.reduceat((h[at] * A + B) * power[place], starts)  # the sorted terms in their order
+            value ^= value >> np.uint64(32)
+            out[some, 1 + step * SUBSETS + j] = value * B | np.uint64(1)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, from 0 to 1; two fingerprints without any term are alike."""
     level = np.maximum(a[:, 0], b[:, 0])
-    columns = 1 + level[:, None] * SUBSETS + np.arange(SUBSETS)
-    x, y = np.take_along_axis(a, columns, 1), np.take_along_axis(b, columns, 1)
+    near = np.abs(a[:, 0].astype(np.int64) - b[:, 0].astype(np.int64)) < 2
+
+    def at(p: np.ndarray) -> np.ndarray:
+        return np.where((p[:, 0] == level)[:, None], p[:, 1 : 1 + SUBSETS], p[:, 1 + SUBSETS :])
+
+    x, y = at(a), at(b)
     some = ((x > 0) | (y > 0)).sum(axis=1)
     same = ((x == y) & (x > 0)).sum(axis=1)
-    return np.where((a == b).all(axis=1), 1.0, same / np.maximum(some, 1))
+    return np.where((a == b).all(axis=1), 1.0, np.where(near, same / np.maximum(some, 1), 0.0))
 
 
 def as_text(p: np.ndarray) -> list[str]:
-    return [f"{row[0]:x}" + "".join(f"{v:03x}" for v in row[1:]) for row in p.tolist()]
+    return [f"{row[0]:02x}" + "".join(f"{v:016x}" for v in row[1:]) for row in p.tolist()]
 
 
 def _tree(key: Column, bounds: list[int], lo: int, hi: int) -> Column:

@@ -472,6 +472,50 @@ def test_imatch(spark, docs, none):
     assert one.near_next == 1
 
 
+def test_imatch_by_definition():
+    """Fingerprints and likeness against plain loops over terms and subsets."""
+    rng = random.Random(4)
+    vocabulary = [words(rng, 1) + str(i) for i in range(900)]
+    lex = frozenset(imatch._hash(t) for t in vocabulary[:700])
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (0, 1, 3, 10, 40, 200, 800)]
+    texts += [t[: len(t) // 2] + t[len(t) // 2 :].replace("st", "ST") for t in texts] + [texts[5] + " " + vocabulary[0] + "x"]
+    full = (1 << 64) - 1
+
+    def brute(text):
+        own = sorted(imatch._hash(t) for t in set(re.findall(r"\w+", text.lower())))
+        kept = [h for h in own if h in lex]
+        own = kept if len(kept) >= imatch.FEW else own
+        level = next(k for k in range(64) if len(own) <= 1 << k)
+        rows = []
+        for k in (level, level + 1):
+            for j in range(imatch.SUBSETS):
+                value, n = 0, 0
+                for h in own:
+                    h &= full
+                    if int(imatch.in_subset(np.array([h], np.uint64), j)[0]) < 1 << 64 - k:
+                        value = (value + (h * int(imatch.A) + int(imatch.B)) * pow(int(imatch.C), n, 1 << 64)) & full
+                        n += 1
+                rows.append((((value ^ value >> 32) * int(imatch.B)) & full | 1) if n else 0)
+        return [level, *rows]
+
+    got = imatch.prints(texts, lex, {})
+    want = [brute(t) for t in texts]
+    assert got.tolist() == want
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        if abs(a[0] - b[0]) > 1:
+            return 0.0
+        k = max(a[0], b[0])
+        pairs = [(x, y) for x, y in zip(*(p[1 + (k - p[0]) * imatch.SUBSETS :][: imatch.SUBSETS] for p in (a, b)), strict=True) if x or y]
+        return sum(x == y for x, y in pairs) / max(1, len(pairs))
+
+    for i in range(len(texts)):
+        again = imatch.likeness(np.repeat(got[i : i + 1], len(texts), axis=0), got)
+        assert np.allclose(again, [alike(want[i], w) for w in want])
+
+
 # 10
 
 
