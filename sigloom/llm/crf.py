@@ -7,9 +7,10 @@ Labelling takes forward-backward over all words of a batch at once: the document
 chain that starts afresh at each document, and blocks of the chain are multiplied out side by side, which
 gives the marginals of texts of any length in a fixed number of array steps.
 
-Fitted on about ``PER_LANG`` documents of each of the ``LANGS`` most frequent labels, chosen by a hash of
-doc_id, with up to ``SPANS`` evenly placed spans of ``SPAN`` words each; predictions read whole texts.  A
-text's language has the largest sum of marginals, weighted by letters; the score is its share.  Null texts
+Fitted on about ``PER_LANG`` documents of each label (fewer, if labels are so many that this were over ``FITTED``
+documents), chosen by a hash of doc_id, with up to ``SPANS`` evenly placed spans of ``SPAN`` words each; words
+of over ``WIDE`` letters are left out of the fit only.  Predictions know all labels and read whole texts and whole words.  ``label_spans`` gives
+the labelled stretches of code-switched texts.  A text's language has the largest sum of marginals, weighted by letters; the score is its share.  Null texts
 and texts without a letter are ``und`` with score 0, as is everything if nothing is labelled.  Null doc_ids
 aren't learnt from and count as not held out; repeated rows repeat; other columns are ignored.
 """
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import ROWS_PER_BATCH, _arrow_schema
 
-PER_LANG, LANGS, SPANS, SPAN = 1000, 200, 6, 40
+PER_LANG, FITTED, SPANS, SPAN, WIDE = 1000, 200_000, 6, 40, 24
 BUCKETS, EPOCHS, BATCH, RATE, DECAY = 1 << 17, 3, 128, 0.25, 1e-5
-HELD, BLOCK, HEAD = 400_000, 128, 12
+HELD, BLOCK, CELLS = 400_000, 128, 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,11 +42,11 @@ def word_features(words: list[str]) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros((0, 1), np.int64)
-    short = [w if len(w) <= 2 * HEAD else w[:HEAD] + w[-HEAD:] for w in words]
-    x = np.zeros((n, 2 * HEAD + 2), np.uint64)
+    longest = max(map(len, words))
+    x = np.zeros((n, longest + 2), np.uint64)
     x[:, 0] = 94  # ^
-    x[:, 1:-1] = np.array(short, f"U{2 * HEAD}").view(np.uint32).reshape(n, -1)
-    lengths = np.fromiter(map(len, short), np.int64, n) + 2
+    x[:, 1:-1] = np.array(words, f"U{longest}").view(np.uint32).reshape(n, -1)
+    lengths = np.fromiter(map(len, words), np.int64, n) + 2
     x[np.arange(n), lengths - 1] = 36  # $
     width = int(lengths.max())
     x = x[:, :width]
@@ -132,20 +133,28 @@ class Crf:
         self.weights, self.transitions = np.zeros((BUCKETS + 1, k), np.float64), np.zeros((k, k))
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of whole words, those of about one length side by side."""
         out = np.zeros((len(words), len(self.labels)))
-        for at in range(0, len(words), 8192):
-            f = word_features(words[at : at + 8192])
-            for j in range(f.shape[1]):
-                out[at : at + 8192] += self.weights[f[:, j]]
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(max(WIDE, 1 << len(w).bit_length()) if len(w) > WIDE else WIDE, []).append(i)
+        for width, own in by.items():
+            rows = max(1, CELLS // width)
+            for at in range(0, len(own), rows):
+                part = own[at : at + rows]
+                f = word_features([words[i] for i in part])
+                for j in range(f.shape[1]):
+                    out[part] += self.weights[f[:, j]]
         return out
 
     def fit(self, spans: list[tuple[list[str], int]], epochs: int = EPOCHS, seed: int = 7) -> Crf:
         """``spans``: words with the number of their label."""
         rng = np.random.default_rng(seed)
         k = len(self.labels)
-        if k < 2 or not spans:
+        if k < 2 or not any(len(w) <= WIDE for words, _ in spans for w in words):
             return self
         index: dict[str, int] = {}
+        spans = [([w for w in words if len(w) <= WIDE], y) for words, y in spans]
         coded = [(np.array([index.setdefault(w, len(index)) for w in words]), y) for words, y in spans if words]
         feats = word_features(list(index))
         square, square_t = np.full_like(self.weights, 1e-4), np.full((k, k), 1e-4)
@@ -191,8 +200,8 @@ class Crf:
         self.weights[BUCKETS] = 0
         return self
 
-    def label_texts(self, texts: list[str | None], cache: dict | None = None) -> list[tuple[str, float]]:
-        """Language and score of each text."""
+    def posteriors(self, texts: list[str | None], cache: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words of the texts: posteriors of the labels and numbers of letters; and of each text its number of words."""
         cache = cache if cache is not None else {}
         split = [words_of(t) for t in texts]
         if len(cache) > HELD:
@@ -206,29 +215,46 @@ class Crf:
             cache[""] = (e, lengths) if table is None else (np.concatenate([table[0], e]), np.concatenate([table[1], lengths]))
             cache.update(zip(new, range(at, at + len(new)), strict=True))
         ids = [cache[w] for words in split for w in words]
-        out = [("und", 0.0)] * len(texts)
+        sizes = np.array([len(s) for s in split], np.int64)
         if not ids or not self.labels:
-            return out
-        e, lengths = cache[""][0][ids], cache[""][1][ids]
-        sizes = np.array([len(s) for s in split])
-        ends = np.cumsum(sizes)
-        some = np.flatnonzero(sizes)
+            return np.zeros((0, len(self.labels))), np.zeros(0), sizes * 0
         start = np.zeros(len(ids), bool)
-        start[(ends - sizes)[some]] = True
-        p = marginals(e, start, self.transitions) * lengths[:, None]
-        total = np.add.reduceat(p, (ends - sizes)[some], axis=0)
+        start[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        return marginals(cache[""][0][ids], start, self.transitions), cache[""][1][ids], sizes
+
+    def label_texts(self, texts: list[str | None], cache: dict | None = None) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        p, lengths, sizes = self.posteriors(texts, cache)
+        out = [("und", 0.0)] * len(texts)
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return out
+        total = np.add.reduceat(p * lengths[:, None], (np.cumsum(sizes) - sizes)[some], axis=0)
         total /= total.sum(axis=1, keepdims=True)
         for i, row in zip(some, total, strict=True):
             if any(map(str.isalpha, texts[i])):
                 out[i] = (self.labels[int(row.argmax())], float(min(1.0, row.max())))
         return out
 
+    def label_spans(self, texts: list[str | None], cache: dict | None = None) -> list[list[tuple[int, int, str, float]]]:
+        """Stretches of words with one label in each text: first and last character (exclusive), label, mean posterior."""
+        p, _, sizes = self.posteriors(texts, cache)
+        best, out, at = p.argmax(axis=1) if len(p) else np.zeros(0, int), [], 0
+        for text, n in zip(texts, sizes.tolist(), strict=True):
+            places = [m.span() for m in WORD.finditer((text or "").lower())][:n] if n else []
+            own, score = best[at : at + n], p[at : at + n].max(axis=1) if n else []
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), n] if n else [0]
+            out.append([(places[a][0], places[b - 1][1], self.labels[int(own[a])], float(np.mean(score[a:b]))) for a, b in zip(cuts, cuts[1:], strict=False)])
+            at += n
+        return out
+
 
 def training_spans(docs: DataFrame, langs: dict[str, int]) -> list[tuple[list[str], str]]:
     """Spans of a bounded number of documents of each language; only these go to the driver."""
     chance = F.lit(0.0)
-    for lang, n in langs.items():
-        chance = F.when(F.col("lang") == lang, min(1.0, PER_LANG / n)).otherwise(chance)
+    per = max(1.0, min(PER_LANG, FITTED / max(1, len(langs))))
+    shares = [x for lang, n in langs.items() for x in (F.lit(lang), F.lit(min(1.0, per / n)))]
+    chance = F.element_at(F.create_map(*shares), F.col("lang")) if shares else chance
     picked = docs.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < chance * (1 << 20))
     schema = "doc_id long, lang string, words array<string>"
     arrow = _arrow_schema(schema)
@@ -252,12 +278,31 @@ def training_spans(docs: DataFrame, langs: dict[str, int]) -> list[tuple[list[st
 def learn(docs: DataFrame) -> Crf:
     """A model of the labels of ``docs (doc_id, text, lang)``."""
     known = docs.where("lang is not null and doc_id is not null")
-    langs = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    langs = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(langs)
     at = {x: i for i, x in enumerate(labels)}
     return Crf(labels).fit([(w, at[x]) for w, x in training_spans(known, langs)])
 
 
+def label_spans(docs: DataFrame, model: Crf) -> DataFrame:
+    """``(doc_id, start, end, lang, score)``: the stretches of each text of ``docs (doc_id, text)`` in one language, in characters of the
+    lower-cased text.  Texts without words give no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, start long, end long, lang string, score double"
+    arrow = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_PER_BATCH):
+                part = b.slice(at, ROWS_PER_BATCH)
+                ids = part.column(0).to_pylist()
+                rows = [(i, *x) for i, own in zip(ids, shared.value.label_spans(part.column(1).to_pylist(), cache), strict=True) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(arrow)], schema=arrow)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def predict(docs: DataFrame) -> DataFrame:
     """The contract's row for each row of ``docs (doc_id, text, lang)``."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -105,6 +105,11 @@ def test_languages(spark, docs, none):
     switched = crf.Crf(["a", "b"]).fit([("aa ab ac".split() * 5, 0), ("zz zy zx".split() * 5, 1)] * 20)
     assert [x[0] for x in switched.label_texts(["aa ab ac", "zz zy", "12 34", None])] == ["a", "b", "und", "und"]
     assert switched.transitions[0, 0] > switched.transitions[0, 1]
+    spans = crf.label_spans(spark.createDataFrame([(1, "aa ab ac aa, zz zy zx zz"), (2, None), (None, "zz")], "doc_id long, text string"), switched).collect()
+    assert sorted((tuple(r)[:4] for r in spans), key=str) == [(1, 0, 11, "a"), (1, 13, 24, "b"), (None, 0, 2, "b")]
+    long = "ab" * 5000  # words of any length are read whole, alone or beside others
+    assert np.allclose(switched.emissions(["aa", long, "zz" + long]), np.concatenate([switched.emissions([w]) for w in ("aa", long, "zz" + long)]))
+    assert not np.allclose(*switched.emissions(["zz" * 6 + "ab" * 40 + "zz" * 6, "zz" * 52]))
 
 
 # 2
