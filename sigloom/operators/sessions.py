@@ -21,7 +21,7 @@ STREAMS = "emitted double, src string, dst string, sport int, dport int, first_t
 
 
 class Tracker:
-    """One connection's state.  ``packet`` gives the streams that end; times are seconds.
+    """One connection's state.  ``packet`` gives the streams that end; times are seconds.  A stream's status is its last packet's.
 
     A stream ends with a fin or rst while open, or when a TCP packet of any connection comes more than the
     timeout after its last packet; that packet's own connection is served before stale ones are ended, so a
@@ -40,6 +40,7 @@ class Tracker:
             self.open["parts"].append(payload)
             self.open["pkts"] += 1
             self.open["last_ts"] = ts
+            self.open["status"] = status
             if status in ("fin", "rst"):
                 out.append(self.open | {"status": status, "emitted": float(no)})
                 self.open = None

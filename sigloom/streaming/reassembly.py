@@ -37,7 +37,7 @@ def reassemble(packets: DataFrame, timeout: float = 2000.0, delay: str = "1 minu
                 now = None
             payload = bytes(p.payload or b"")
             if now:
-                now = (now[0], max(now[1], ts), now[2] + 1, now[3], bytes(now[4]) + payload)
+                now = (now[0], max(now[1], ts), now[2] + 1, p.status, bytes(now[4]) + payload)
                 if p.status in ("fin", "rst"):
                     yield row(now, p.status)
                     now = None

@@ -190,3 +190,14 @@ def test_clusters():
     two = ["aa shared x bb"] * 3 + ["cc other y dd"] * 3
     sigs = BayesTree(spec_threshold=3, innocuous=Innocuous(["zz"])).train(two)
     assert AnyOf(sigs).match(two[0]) and AnyOf(sigs).match(two[5])
+
+
+def test_pruning_equals_subtracting_from_the_longest():
+    rng = random.Random(11)
+    for _ in range(60):
+        tokens = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))): {s: rng.randint(1, 5) for s in range(4) if rng.random() < 0.7} for _ in range(9)}
+        want = {}
+        for t in sorted(tokens, key=len, reverse=True):
+            want[t] = [tokens[t].get(s, 0) - sum(want[u][s] * u.count(t) for u in want if len(u) > len(t)) for s in range(4)]
+        rows = {t: {s: n for s, n in enumerate(c) if n > 0} for t, c in want.items()}
+        assert mining.pruned(tokens, 2) == {t: c for t, c in rows.items() if len(c) >= 2}

@@ -95,8 +95,9 @@ def streams(spark, *rows, timeout=10):
 def test_reassembly(spark):
     assert streams(spark, packet(0, 0, payload=b"a"), packet(1, 1, "fin", b"b"), packet(2, 2, payload=b"c")) == [("a", 2, "fin", b"ab"), ("a", 1, "open", b"c")]
     assert streams(spark, packet(0, 0, payload=b""), packet(1, 1, payload=b"c"), packet(2, 2, "rst", b"")) == [("a", 2, "rst", b"c")]
-    # a first packet that ends its connection is queued
-    assert streams(spark, packet(0, 0, "fin", b"c"), packet(1, 1, payload=b"d")) == [("a", 2, "fin", b"cd")]
+    # a first packet that ends its connection is queued, and a stream has its last packet's status
+    assert streams(spark, packet(0, 0, "fin", b"c"), packet(1, 1, payload=b"d")) == [("a", 2, "open", b"cd")]
+    assert streams(spark, packet(0, 0, payload=b"c"), packet(1, 1, payload=b"d"), packet(2, 2, "fin", b"")) == [("a", 3, "fin", b"cd")]
     # a late packet extends its stream unless another came in between; a pause of just the time-out is none
     assert streams(spark, packet(0, 0), packet(1, 99, payload=b"y")) == [("a", 2, "open", b"xy")]
     assert streams(spark, packet(0, 0), packet(1, 11, src="b"), packet(2, 12, payload=b"y"))[0] == ("a", 1, "timeout", b"x")
