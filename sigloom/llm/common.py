@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sigloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -89,8 +91,3 @@ def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.types import _parse_datatype_string
 
     return to_arrow_schema(_parse_datatype_string(schema))
-
-
-def package_paths() -> str:
-    """The folder that holds the package, for executors that need it on their path."""
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
