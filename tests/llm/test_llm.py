@@ -231,6 +231,28 @@ def test_lines_of_long_words(spark):
     linked(spark, " ".join(long), " ".join(x[:9] + "Z" + x[10:] if i in (1, 4, 6) else x for i, x in enumerate(long)), " ".join(x[:9] + "Q" + x[10:] for x in long))
 
 
+def test_recall_of_line_keys(spark):
+    """Pairs of a similarity of 0.8 to 0.86, by length, that share a key."""
+    rng, rows, pairs = random.Random(12), [], []
+    cut = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    for n in (4, 8, 14, 25, 40, 120):
+        found = 0
+        while found < 150:
+            a = words(rng, n)
+            b = list(a)
+            for _ in range(max(1, len(a) // rng.randint(45, 70))):
+                b[rng.randrange(len(b))] = rng.choice("abcdef")
+            b = "".join(b) + rng.choice(["", "s", " " + words(rng, 1)])
+            if 0.8 <= len(cut(a) & cut(b)) / len(cut(a) | cut(b)) < 0.86:
+                pairs.append((n, len(rows), len(rows) + 1))
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+                found += 1
+    keys = {r.id: set(r["keys"]) for r in linededup.signed(spark.createDataFrame(rows, "id long, line string")).collect()}
+    hits = collections.Counter(n for n, a, b in pairs if keys[a] & keys[b])
+    print(hits)
+    assert len(hits) == 6 and min(hits.values()) >= 0.9 * 150
+
+
 def test_lines_of_nothing(none):
     assert linededup.dedup_lines(none).count() == 0
 
