@@ -110,22 +110,20 @@ _PLACES_SQL = (
 )
 
 
-def _short_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = spark.createDataFrame(list(SHORT.items()), "token string, score double")
-    places = occurrences.positions(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.select(F.col("token").alias("key"), "token"), "doc_id", "text", "key", "token")
-    return occurrences.longest_at(places.withColumnRenamed("key", "token"), "doc_id", "token")
-
-
 @query(f"WITH {_PLACES_SQL} SELECT doc_id, token, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM longest GROUP BY doc_id, token")
 def token_positions_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short_places(spark, sf_dir).groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+    return occurrences.settled_counts(table(spark, sf_dir, "documents", "doc_id", "text"), SHORT, "doc_id", "text")
 
 
-@query()
+#: The tokens left so far are carried along each document's places, which are folded in order.
+@query(
+    f"WITH {_PLACES_SQL}, items AS (SELECT doc_id, list({{'pos': pos, 'covered': pos + length(token), 'score': score, 'kept': [token]}} ORDER BY pos) AS items FROM longest GROUP BY doc_id), "
+    "folded AS (SELECT doc_id, list_reduce(items, lambda acc, x: CASE WHEN x.pos >= acc.covered THEN {'pos': x.pos, 'covered': x.covered, 'score': x.score, 'kept': list_concat(acc.kept, x.kept)} "
+    "WHEN x.score > acc.score THEN {'pos': x.pos, 'covered': x.covered, 'score': x.score, 'kept': list_concat(acc.kept[:-2], x.kept)} ELSE acc END).kept AS kept FROM items) "
+    "SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(kept) AS token FROM folded) GROUP BY doc_id, token"
+)
 def token_conflict_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.element_at(F.create_map(*[x for t, s in SHORT.items() for x in (F.lit(t), F.lit(s))]), F.col("token"))
-    kept = occurrences.resolve(_short_places(spark, sf_dir).withColumn("score", score), "doc_id", "token", "score", False, False)
-    return kept.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return occurrences.settled_counts(table(spark, sf_dir, "documents", "doc_id", "text"), SHORT, "doc_id", "text", False, False).select("doc_id", "token", "n")
 
 
 @query("SELECT b.item_id, count(DISTINCT d.text) AS n_contents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
@@ -290,9 +288,21 @@ def alignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.select("item_id", F.size("a").alias("n"), F.size(F.filter("a", lambda x: x == T.GAP)).alias("gaps"))
 
 
-@query()
+#: A pool's string is made of its shortest sample's substrings; longest, then first in order.
+_POOLS_SQL = (
+    f"pool_of AS (SELECT d.doc_id, coalesce(d.text, '') AS text, ((d.doc_id * 2654435761 + 40503) % 4294967296) % (SELECT greatest(1, CAST(ceil(count(*) / {POOL}.0) AS BIGINT)) FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 1) AS pool_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 1)"
+)
+
+
+@query(
+    f"WITH {_POOLS_SQL}, base AS (SELECT pool_id, arg_min(text, (length(text), doc_id)) AS text, count(*) AS n FROM pool_of GROUP BY pool_id), "
+    "starts AS (SELECT pool_id, text, n, unnest(range(1, length(text))) AS i FROM base), "
+    "parts AS (SELECT DISTINCT pool_id, n, substr(text, i, len) AS token FROM (SELECT *, unnest(range(2, length(text) - i + 2)) AS len FROM starts)), "
+    "held AS (SELECT p.pool_id, p.token FROM parts p JOIN pool_of d ON d.pool_id = p.pool_id AND contains(d.text, p.token) GROUP BY p.pool_id, p.token, p.n HAVING count(*) = p.n) "
+    "SELECT CAST(pool_id AS INTEGER) AS pool_id, 0 AS sig, 'Substring' AS kind, token AS signature FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY length(token) DESC, encode(token)) AS r FROM held) WHERE r = 1"
+)
 def lcs_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.train_pools(_learning_pools(spark, sf_dir), signatures.LongestSubstring())
+    return signatures.train_pools(_learning_pools(spark, sf_dir), signatures.LongestSubstring()).drop("tokens")
 
 
 @query()
@@ -300,35 +310,59 @@ def lcseq_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures.train_pools(_learning_pools(spark, sf_dir), signatures.OrderedTree(kfrac=1.0, tokenize_all=True, do_cluster=False))
 
 
-def _innocuous_counts(spark: SparkSession, sf_dir: str, longest: int | None) -> tuple[list[str], dict[str, int], int, int]:
-    """Tokens of the suspicious pool, counts of their pieces over the innocuous documents, and these documents' size."""
+def _token_pieces(spark: SparkSession, sf_dir: str, longest: int | None) -> DataFrame:
+    """``(token, pieces, total, n)``: tokens of the suspicious pool, occurrences of their pieces over the innocuous documents
+    as a map, and these documents' size."""
     pools = _pools(spark, sf_dir)
-    tokens = [r.token for r in _scores(pools).select("token").orderBy("token").collect()]
-    pieces = sorted({p for t in tokens for p in probability.pieces_of(t, longest)})
     good = pools.where("toxic = 0").select("doc_id", "text")
-    keys = spark.createDataFrame([(p, p) for p in pieces], "piece string, token string")
-    found = occurrences.positions(good, keys, "doc_id", "text", "piece", "token").groupBy("piece").agg(F.count("*").alias("n"))
-    size = good.agg(F.sum(F.length("text")).alias("total"), F.count("*").alias("n")).first()
-    return tokens, {r.piece: r.n for r in found.collect()}, size.total or 0, size.n
+    size = good.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total"), F.count("*").alias("n"))
+    return probability.piece_counts(_scores(pools).select("token"), good, "token", "text", longest).crossJoin(F.broadcast(size))  # size is one row
+
+
+def _pieces_sql(longest: int | None) -> str:
+    most = f"least(length(token), {longest})" if longest else "length(token)"
+    return (
+        "calm AS (SELECT text FROM pools WHERE toxic = 0), size AS (SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total, count(*) AS n FROM calm), "
+        f"spans AS (SELECT DISTINCT substr(token, a, len) AS piece FROM (SELECT token, a, unnest(range(1, least({most}, length(token) - a + 1) + 1)) AS len FROM (SELECT token, unnest(range(1, length(token) + 1)) AS a FROM scores))), "
+        "lengths AS (SELECT DISTINCT length(piece) AS len FROM spans), "
+        "windows AS (SELECT substr(text, i, len) AS piece FROM (SELECT text, len, unnest(range(1, length(text) - len + 2)) AS i FROM calm CROSS JOIN lengths)), "
+        "pieces AS (SELECT s.piece, count(w.piece) AS n FROM spans s LEFT JOIN windows w ON w.piece = s.piece GROUP BY s.piece)"
+    )
 
 
-@query()
+#: All ways to put a token together, from its end; pieces but the last have four symbols or more.
+@query(
+    f"WITH RECURSIVE {_SCORES_SQL}, {_pieces_sql(None)}, piece_shares AS (SELECT piece, least(0.999, p.n / greatest(1, s.n)) AS share FROM pieces p CROSS JOIN size s), "
+    "ways AS (SELECT token, a, p.share AS prob, [length(token)] AS ends FROM (SELECT token, unnest(range(0, length(token))) AS a FROM scores) t JOIN piece_shares p ON p.piece = substr(token, a + 1) "
+    "UNION ALL SELECT w.token, w.b, p.share * w.prob, list_concat([w.a], w.ends) FROM (SELECT *, unnest(range(0, a - 3)) AS b FROM ways) w JOIN piece_shares p ON p.piece = substr(w.token, w.b + 1, w.a - w.b)) "
+    "SELECT token, round(prob, 12) AS prob, CAST(len(ends) AS BIGINT) AS n_pieces FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY prob DESC, ends DESC) AS r FROM ways WHERE a = 0) WHERE r = 1"
+)
 def mpp_token_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, counts, _, n = _innocuous_counts(spark, sf_dir, None)
-    rows = [(t, *probability.best_partition(t, lambda p: counts.get(p, 0) / max(1, n), least=3)) for t in tokens]
-    return spark.createDataFrame(rows, "token string, prob double, pieces array<string>")
+    best = probability.best_partitions(_token_pieces(spark, sf_dir, None), "token", least=3)
+    return best.select("token", F.round("prob", 12).alias("prob"), F.size("pieces").cast("long").alias("n_pieces"))
 
 
-@query()
+#: One step of recursion is one symbol of a stream; a state's chance moves on with a hit, or back to the start or behind it.
+@query(
+    f"WITH RECURSIVE {_SCORES_SQL}, {_pieces_sql(10)}, "
+    "places AS (SELECT token, i, unnest(range(0, least(i, 9) + 1)) AS k FROM (SELECT token, unnest(range(0, length(token))) AS i FROM scores)), "
+    "hits AS (SELECT x.token, x.i, greatest(1 / max(s.total), max(coalesce(f.n / nullif(CASE WHEN k = 0 THEN s.total ELSE c.n END, 0), 0))) AS p FROM places x CROSS JOIN size s JOIN pieces f ON f.piece = substr(x.token, i - k + 1, k + 1) LEFT JOIN pieces c ON c.piece = substr(x.token, i - k + 1, k) AND k > 0 GROUP BY x.token, x.i), "
+    "chain AS (SELECT token, list(p ORDER BY i) AS p, length(token) AS len FROM hits GROUP BY token), "
+    "misses AS (SELECT token, len, p, list_transform(range(1, len + 1), lambda i: (1 - p[i]) * CASE WHEN substr(token, i, 1) = substr(token, 1, 1) THEN 1 ELSE 1 - p[1] END) AS to0, "
+    "list_transform(range(1, len + 1), lambda i: CASE WHEN substr(token, i, 1) = substr(token, 1, 1) THEN 0 ELSE (1 - p[i]) * p[1] END) AS to1 FROM chain), "
+    "walk AS (SELECT token, len, p, to0, to1, CAST(0 AS BIGINT) AS t, list_transform(range(0, len + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS now FROM misses "
+    "UNION ALL SELECT token, len, p, to0, to1, t + 1, list_transform(range(0, len + 1), lambda j: CASE WHEN j = 0 THEN list_dot_product(now[1:len], CAST(to0 AS DOUBLE[])) "
+    "ELSE now[j] * p[j] + CASE WHEN j = len THEN now[j + 1] ELSE 0 END + CASE WHEN j = 1 THEN list_dot_product(now[1:len], CAST(to1 AS DOUBLE[])) ELSE 0 END END) FROM walk WHERE t < (SELECT total // greatest(1, n) FROM size)) "
+    "SELECT token, round(now[len + 1], 9) AS prob FROM walk WHERE t = (SELECT total // greatest(1, n) FROM size)"
+)
 def markov_token_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, counts, total, n = _innocuous_counts(spark, sf_dir, 10)
-    return spark.createDataFrame([(t, probability.markov_prob(t, counts, total, n)) for t in tokens], "token string, prob double")
+    return probability.markov_probs(_token_pieces(spark, sf_dir, 10), "token").select("token", F.round("prob", 9).alias("prob"))
 
 
 @query()
 def hier_cluster_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     learner = signatures.BayesTree(minlen=6, kmin=2, kfrac=1.0, spec_threshold=60, min_cluster_size=2)
-    return signatures.train_pools(_learning_pools(spark, sf_dir), learner, longest=1000)
+    return signatures.train_pools(_learning_pools(spark, sf_dir), learner)
 
 
 # Sessions
