@@ -361,7 +361,9 @@ def markov_token_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hier_cluster_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learner = signatures.BayesTree(minlen=6, kmin=2, kfrac=1.0, spec_threshold=60, min_cluster_size=2)
+    """Clusters of whole samples; scores and backtracking use the innocuous pool."""
+    good = signatures.Innocuous.gather(_pools(spark, sf_dir).where("toxic = 0"), "text", shares=True)
+    learner = signatures.BayesTree(minlen=6, kmin=2, kfrac=1.0, spec_threshold=60, min_cluster_size=2, innocuous=good)
     return signatures.train_pools(_learning_pools(spark, sf_dir), learner)
 
 

@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import text as T
-from sigloom.operators import evaluation, occurrences, reports, scoring, sessions, workload
+from sigloom.operators import evaluation, mining, occurrences, probability, reports, scoring, sessions, signatures, workload
+from sigloom.operators.align import painted, tokens_of
 from sigloom.operators.signatures import Bayes, Innocuous, Ordered, Substring, Weighted, settled, token_places
 from sigloom.plans import catalog
 from sigloom.sources import packets as P
+from test_kernels import brute_align, brute_substrings
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,10 +39,123 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(catalog.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_query_runs(spark, name):
-    df = catalog.QUERIES[name](spark, DATA)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+LIKE = ["xx alpha beta yy", "zz alpha beta qq", "alpha beta w", "v alpha beta alpha", "", None, "alph bet é"]
+ONE, OTHER = "SECRETONE-0123456789-abcdefghij-KLMNOPQ", "OTHERKEY+zyxwvutsrq+9876543210+lmnopqrst"
+CLUSTERED = [f"a1 GET /index q {ONE} zz", f"b2 {ONE} kk GET /index", f"c3 GET /index {ONE}", f"d4 {OTHER} 77 Host: example", f"e5 Host: example {OTHER}", "f6 lonely text"]
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    """Folders of small tables: ``like`` for miners and aligners, ``clustered`` for trees."""
+
+    def make(name: str, bad: list, good: list) -> str:
+        at = tmp_path_factory.mktemp(name)
+        texts = [*bad, *good]
+        pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(at / "documents.parquet")
+        pd.DataFrame({"doc_id": range(len(texts)), "toxic": [1] * len(bad) + [0] * len(good)}).to_parquet(at / "labels.parquet")
+        pd.DataFrame({"item_id": range(4), "text": ["abcabd", "xabcd", "", "cabdx"]}).to_parquet(at / "benchmark.parquet")
+        return str(at)
+
+    return {"like": make("like", LIKE, ["calm"] * 3), "clustered": make("clustered", CLUSTERED, ["GET /index HTTP"] * 9 + ["Host: nowhere"])}
+
+
+@pytest.mark.parametrize("kfrac", [0.2, 0.5])
+def test_pool_substrings_equal_brute_force(spark, folder, kfrac):
+    samples = [t or "" for t in LIKE]
+    least = min(len(samples), max(catalog.KMIN, int(kfrac * len(samples))))
+    want = brute_substrings(samples, 4, least)
+    query = catalog.pool_common_substrings
+    if kfrac == 0.5:
+        own: dict = {}
+        for t in sorted(want, key=len, reverse=True):
+            own[t] = [want[t].get(i, 0) - sum(own[u][i] * u.count(t) for u in own if len(u) > len(t)) for i in range(len(samples))]
+        want = {t: {i: n for i, n in enumerate(c) if n > 0} for t, c in own.items() if sum(n > 0 for n in c) >= least}
+        query = catalog.pool_common_substrings_pruned
+    got = {tuple(r) for r in query(spark, folder["like"]).collect()}
+    assert got and got == {(0, t, i, n) for t, c in want.items() for i, n in c.items()}
+
+
+def test_alignment_pairs_equal_brute_force(spark, folder):
+    items = pd.read_parquet(folder["like"] + "/benchmark.parquet").text.tolist()
+    want = {}
+    for i, (a, b) in enumerate(zip(items, items[1:], strict=False)):
+        aligned = brute_align([ord(c) for c in a], [ord(c) for c in b], 0.8)
+        want[i] = (len(aligned), aligned.count(T.GAP))
+    assert {r.item_id: (r.n, r.gaps) for r in catalog.alignment_pairs(spark, folder["like"]).collect()} == want
+
+
+def test_ordered_signature_equals_brute_force(spark, folder):
+    samples = [t for t in LIKE if t and "alpha beta" in t]
+    pools = spark.createDataFrame([(0, i, t) for i, t in enumerate(samples)], "pool_id int, sample_idx long, text string")
+    inside = list(brute_substrings(samples, 2, len(samples)))
+    lcs = painted(samples[0], inside)
+    for s in samples[1:]:
+        lcs = brute_align(lcs, painted(s, inside), 0.8)
+    got = signatures.train_pools(pools, signatures.OrderedTree(kfrac=1.0, tokenize_all=True, do_cluster=False)).collect()
+    assert [list(r.tokens) for r in got] == [tokens_of(lcs)] and tokens_of(lcs) == ["alpha beta "]
+    assert [list(r.tokens) for r in catalog.lcseq_signature(spark, folder["like"]).collect()] == [[]]  # an empty sample shares nothing
+
+
+def test_clusters_with_an_innocuous_pool(spark, folder):
+    got = [set(r.tokens) for r in catalog.hier_cluster_roots(spark, folder["clustered"]).collect()]
+    assert any("SECRETONE" in "|".join(t) for t in got) and any("OTHERKEY" in "|".join(t) for t in got)
+    assert not any("SECRETONE" in "|".join(t) and "OTHERKEY" in "|".join(t) for t in got)
+
+
+def test_backtracking_undoes_what_matches_innocuous_streams():
+    samples = ["GET /index one", "two GET /index", "GET /index three"]
+    kept = signatures.BayesTree(minlen=6, spec_threshold=1, max_fp_count=5)
+    assert len(kept.train(samples)) == 1
+    background = Innocuous(["GET /index HTTP"] * 6 + ["x"] * 994, shares=True)
+    assert signatures.BayesTree(minlen=6, spec_threshold=1, max_fp_count=5, innocuous=background).train(samples) == []
+
+
+def test_background_is_bounded(spark):
+    df = spark.createDataFrame([("abc",), (None,), ("abd",)], "s string")
+    pool = Innocuous.gather(df, "s", shares=True)
+    assert pool.chance("ab") == pytest.approx(2 / 3) and pool.chance("q" * 80) < 1e-180
+    with pytest.raises(ValueError):
+        Innocuous.gather(df, "s", most=5)
+    assert Innocuous.gather(df.limit(0), "s").streams == []
+
+
+def test_settled_counts_equal_resolve(spark):
+    scores = {"the": 1.0, "then": 2.5, "en": 1.5, "ent": 0.5, "nt": 3.0, "": 1.0}
+    texts = ["thenthe", "enthen", "xthent", "the", "q", "", None, "thenthe"]
+    streams = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    for a in (True, False):
+        for b in (True, False):
+            got = {(r.i, r.token): (r.n, r.positions) for r in occurrences.settled_counts(streams, scores, "i", "s", a, b).collect()}
+            places = [(i, p, t, scores[t]) for i, s in enumerate(texts) for p, t in token_places(s or "", scores).items()]
+            kept = occurrences.resolve(spark.createDataFrame(places, "i long, pos long, token string, score double"), "i", "token", "score", a, b)
+            want = {(r.i, t): list(r.tokens).count(t) for r in kept.collect() for t in r.tokens}
+            assert {k: n for k, (n, _) in got.items()} == want
+    assert occurrences.settled_counts(streams, {}, "i", "s").count() == 0
+
+
+def test_frequent_ngrams_joined_and_sent(spark, monkeypatch):
+    texts = ["abcabc", "abcx", "zabc", "abc", None, "ab", "abcabc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    grams = {}
+    for i, s in enumerate(texts):
+        for at in range(len(s or "") - 2):
+            own = grams.setdefault(s[at : at + 3], (set(), set()))
+            own[0].add(i)
+            own[1].add(s[at + 3] if at + 3 < len(s) else ("end", i))
+    want = {(g, len(held)) for g, (held, ways) in grams.items() if len(held) >= 2 and len(ways) > 1}
+    assert {tuple(r) for r in mining.frequent_ngrams(docs, "i", "s", 3, 2).collect()} == want
+    monkeypatch.setattr(mining, "SENT", 0)
+    assert {tuple(r) for r in mining.frequent_ngrams(docs, "i", "s", 3, 2).collect()} == want
+
+
+def test_piece_counts(spark):
+    tokens = spark.createDataFrame([("aab",), ("",), (None,), ("aab",), ("q",)], "t string")
+    streams = spark.createDataFrame([("aaab",), (None,), ("baab",)], "s string")
+    got = {r.t: dict(r.pieces) for r in probability.piece_counts(tokens, streams, "t", "s", 2).collect()}
+    assert got == {"aab": {"a": 5, "b": 3, "aa": 3, "ab": 2}, "q": {"q": 0}}
+    empty = probability.piece_counts(tokens, streams.limit(0), "t", "s").crossJoin(spark.createDataFrame([(0, 0)], "total long, n long"))
+    assert {r.token: r.prob for r in probability.markov_probs(empty.withColumnRenamed("t", "token"), "token").collect()} == {"aab": 0.0, "q": 0.0}
+    assert {r.token: r.prob for r in probability.best_partitions(empty.withColumnRenamed("t", "token"), "token").collect()} == {"aab": 0.0, "q": 0.0}
 
 
 def test_entry(spark):
