@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -474,6 +475,21 @@ def test_repeats(spark, monkeypatch, hot):
     assert texts == sorted(((w[0], None if w[6] else w[5].decode("utf-8", "ignore")) for w in want), key=str)
 
 
+def test_messages_of_a_shard_are_worked_off_together(monkeypatch):
+    """Messages grow with groups times shards: none is squeezed, unsqueezed or sorted by itself."""
+    texts = [bytes(random.Random(i % 40).choices(b"abcdefgh ", k=60)) for i in range(300)]
+    rows = pd.DataFrame({"shard": 0, "g": range(300), "ids": [np.int64(7 * i).tobytes() for i in range(300)], "sizes": [bytes([11])] * 300, "text": texts})
+    calls = []
+    monkeypatch.setattr(substrings, "unsqueeze", lambda *a: calls.append(a))
+    monkeypatch.setattr(substrings, "squeeze", lambda *a: calls.append(a))
+    for at_once in (1, 100, 1 << 20):
+        monkeypatch.setattr(substrings, "AT_ONCE", at_once)
+        got = substrings._sort(rows, 50)
+        assert got["g"].tolist() == list(range(300)) and not calls
+        for i, (n, ids) in enumerate(zip(got["data"], got["more"], strict=True)):
+            assert np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(n, np.uint8)).tolist() == [7 * (i % 40)] * 11
+
+
 def test_no_repeats_in_nothing(none):
     assert substrings.digests(none).count() == 0 and substrings.drop_repeats(none).count() == 0
 
