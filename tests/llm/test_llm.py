@@ -254,6 +254,24 @@ def test_recall_of_line_keys(spark):
     assert len(hits) == 6 and min(hits.values()) >= 0.9 * 150
 
 
+def test_large_keys_are_settled_whole(spark):
+    """Every similar pair of a key of many components is linked, however few keys it shares otherwise."""
+    rng = random.Random(11)
+    shingled = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    lines = []
+    while len(lines) < 300:
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=98))
+        b = a[:-1 - rng.randrange(9, 12)] + "".join(rng.choices("0123456789", k=10))
+        x, y = shingled(a), shingled(b)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.82:
+            lines += [a, b]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    members = texts.selectExpr("1L as key", "id", "1L as n", f"{len(lines)}L as size")
+    linker = linededup.Linker(Cut(spark), texts)
+    linker.settle(members, members.selectExpr("id as a", "id as b").limit(0))
+    assert {(r.node, r.root) for r in linker.roots.collect()} == {(i + 1, i) for i in range(0, 300, 2)}
+
+
 def test_lines_of_nothing(none):
     assert linededup.dedup_lines(none).count() == 0
 
