@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import struct
 
 import duckdb
@@ -133,6 +134,22 @@ def test_settled_counts_equal_resolve(spark):
     assert occurrences.settled_counts(streams, {}, "i", "s").count() == 0
 
 
+def test_frequent_ngrams_send_few_bytes(spark, monkeypatch):
+    """Eight bytes and more for each symbol were shuffled; frequencies over 255 in a chunk count in full."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(100)] + ["the same twelve" + x for x in "ab" * 150]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, s string").coalesce(1)
+    sent, real = [], mining._bitmap
+
+    def counted(found, text, partial, *rest):
+        sent.append(found.select(text).mapInArrow(partial, mining.PARTIAL).selectExpr("sum(octet_length(data))").first()[0])
+        return real(found, text, partial, *rest)
+
+    monkeypatch.setattr(mining, "_bitmap", counted)
+    assert [tuple(r) for r in mining.frequent_ngrams(docs, "i", "s", 15, 300).collect()] == [("the same twelve", 300)]
+    assert len(sent) == 2 and sum(sent) < 2 * sum(map(len, texts))
+
+
 def test_frequent_ngrams_joined_and_sent(spark, monkeypatch):
     texts = ["abcabc", "abcx", "zabc", "abc", None, "ab", "abcabc"]
     docs = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
