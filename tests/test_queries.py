@@ -6,6 +6,7 @@ import random
 import struct
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,25 @@ def test_backtracking_undoes_what_matches_innocuous_streams():
     assert signatures.BayesTree(minlen=6, spec_threshold=1, max_fp_count=5, innocuous=background).train(samples) == []
 
 
+def test_tokens_are_searched_at_once_and_pools_apart(spark, monkeypatch):
+    """Spark joined small pools into one task, and each token was searched for through all streams."""
+    rng = random.Random(2)
+    streams = ["".join(rng.choices("abc", k=40)) for _ in range(50)] + [""]
+    tokens = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(300)]
+    plain, at_once = Innocuous(streams, shares=True), Innocuous(streams, shares=True)
+    at_once.prepare(tokens)
+    assert len(at_once._chances) == len(set(tokens)) > signatures.MANY
+    assert {t: plain.chance(t) for t in tokens} == {t: at_once.chance(t) for t in tokens}
+    pools = spark.createDataFrame([(i % 20, i, "GET /index %d" % i) for i in range(60)], "pool_id int, sample_idx long, text string")
+    out = signatures.train_pools(pools, signatures.LongestSubstring())
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 20
+    copy = "".join(rng.choices("abcdefgh", k=1000))
+    compared = []
+    monkeypatch.setattr(np, "flatnonzero", lambda x, real=np.flatnonzero: compared.append(1) or real(x))
+    common = mining._suffixes([copy, copy])[2]
+    assert common.max() == 1000 and 0 < len(compared) < 20  # rounds grow with the logarithm of a common prefix, not with it
+
+
 def test_background_is_bounded(spark):
     df = spark.createDataFrame([("abc",), (None,), ("abd",)], "s string")
     pool = Innocuous.gather(df, "s", shares=True)
