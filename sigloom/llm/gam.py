@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema
+from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema, fresh
 
 SAMPLE, BINS, ROUNDS, RATE, LEAVES, PAIRS, PAIR_BINS, PAIR_ROUNDS, LEAST, THRESHOLD = 20_000, 64, 150, 0.1, 3, 8, 8, 50, 5, 0.3
 
@@ -79,6 +79,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_PER_BATCH):
                 part = whole.slice(at, ROWS_PER_BATCH)

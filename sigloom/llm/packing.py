@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema
+from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema, fresh, held
 
 LENGTH, BLOCK, ISLANDS, POPULATION, GENERATIONS, POOLED = 2048, 8192, 2, 4, 6, 64
 TIGHT = 0.995
@@ -76,6 +76,7 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
+@held
 @lru_cache(maxsize=2)
 def chunks(path: str) -> Chunks:
     """One cache for all tasks of a Python worker."""
@@ -96,6 +97,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     arrow = _arrow_schema(ITEMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(chunks)
         own, at, task = chunks(path), 0, TaskContext.get().partitionId()
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_PER_BATCH):
@@ -234,11 +236,13 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block:
     here = ["doc_id", "piece", "start", "length", "ids_crc32", "block"]
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
+        fresh()
         rows = rows.sort_values("deal", ignore_index=True)
         seed = int(rows["block"][0]) * ISLANDS + int(rows["island"][0])
         return _as_rows(rows, evolve(rows["length"].tolist(), length, seed), length)[[*COLUMNS, "deal"]]
 
     def second(rows: pd.DataFrame) -> pd.DataFrame:
+        fresh()
         rows = rows.sort_values(["migrant", "deal"], ignore_index=True)
         own = rows[rows["migrant"] == 0].reset_index(drop=True)
         away = rows[rows["migrant"] == 1].reset_index(drop=True)
@@ -248,6 +252,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block:
         return _as_rows(own, evolve(lengths.tolist(), length, seed, elites), length)[COLUMNS]
 
     def pooled(rows: pd.DataFrame) -> pd.DataFrame:
+        fresh()
         rows = rows.sort_values(["block", "bin", "offset"], ignore_index=True)
         old = (rows["block"] * (1 << 32) + rows["bin"]).to_numpy()
         elite = _from_rows(np.unique(old, return_inverse=True)[1], rows["length"].to_numpy(), length)

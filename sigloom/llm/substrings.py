@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import Cut, _arrow_schema
+from sigloom.llm.common import Cut, _arrow_schema, fresh
 from sigloom.llm.suffix import sort_suffixes
 
 LENGTH, ANCHOR = 50, 16
@@ -172,6 +172,7 @@ def pack(docs: DataFrame) -> DataFrame:
     arrow = _arrow_schema(PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
@@ -237,6 +238,7 @@ def _owners(groups: DataFrame, buckets: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
+                fresh()
                 values, n, several, _ = Group(r["ids"], r["sizes"], r["text"], length).owners()
                 at = ((values >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 counts = (np.minimum(n, 127) | (several.astype(np.int64) << 7)).astype(np.uint8)
@@ -267,6 +269,7 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _sort(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """The smallest doc_id of each string of a shard's snippets, sent back by group as runs of strings."""
+    fresh()
     # the messages of all groups are joined: their number grows with groups times shards, so none gets work of its own
     rows = rows.sort_values("g", ignore_index=True)
     held = np.cumsum([0, *map(len, rows["sizes"])])  # where a message's snippets begin
@@ -318,28 +321,45 @@ def _sort(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"g": rows["g"], "kind": 1, "part": rows["shard"], "data": data, "more": more})
 
 
+def covered(starts: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes lie in a string of ``length`` that begins where ``starts`` is set."""
+    step = np.zeros(len(starts) + length + 1, np.int8)
+    for lo in range(0, len(starts), AT_ONCE):
+        at = np.flatnonzero(starts[lo : lo + AT_ONCE]) + lo
+        if len(at):
+            cut = np.flatnonzero(np.diff(at) > length)
+            step[at[np.append(0, cut + 1)]] += 1
+            step[at[np.append(cut, len(at) - 1)] + length] -= 1
+    return np.cumsum(step[: len(starts)], dtype=np.int8) > 0
+
+
 def removed(g: Group, rows: pd.DataFrame, shards: int, length: int) -> np.ndarray:
     """Which bytes of the group go."""
-    gone = np.zeros(len(g.text) + 1, np.int32)
+    gone = np.zeros(len(g.text), bool)  # first where a string begins that goes
     values, _, _, back = g.owners()
     flags = _flags(rows, len(values))
     replies = rows[rows["kind"] == 1].sort_values("part")
     if flags.any() and len(replies):
         low, count, doc, number, first, shard = g.snippets(flags, back, shards, length)
+        del values, back
         order = np.argsort(shard, kind="stable")  # snippets as they were sent: by shard, then by number
-        runs = np.frombuffer(b"".join(replies["data"]), np.uint8).astype(np.int64)
+        runs = np.frombuffer(b"".join(replies["data"]), np.uint8)
         ids = np.frombuffer(b"".join(replies["more"]), np.int64)
         least = np.repeat(ids, runs)
         size = count[first]
         begin = np.empty(len(first), np.int64)
         begin[order] = np.cumsum(size[order]) - size[order]
-        k = count
-        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        hit = least[np.repeat(begin[number], k) + inner] < np.repeat(g.ids[doc], k)
-        starts = (np.repeat(low, k) + inner)[hit]
-        gone += np.bincount(starts, minlength=len(gone)).astype(np.int32)
-        gone -= np.bincount(starts + length, minlength=len(gone)).astype(np.int32)
-    return np.cumsum(gone[:-1]) > 0
+        total = np.cumsum(count)
+        x = 0
+        while x < len(count):  # an occurrence has few strings, so no slice has many more than AT_ONCE / 4
+            y = max(x + 1, int(np.searchsorted(total, total[x] + AT_ONCE // 4)))
+            k = count[x:y]
+            inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            hit = least[np.repeat(begin[number[x:y]], k) + inner] < np.repeat(g.ids[doc[x:y]], k)
+            inner += np.repeat(low[x:y], k)
+            gone[inner[hit]] = True
+            x = y
+    return covered(gone, length)
 
 
 def _prepare(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
@@ -354,6 +374,7 @@ def _prepare(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
     sent = "shard long, g long, ids binary, sizes binary, text binary"
 
     def send(blob: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        fresh()
         out: dict[str, list] = {"shard": [], "g": [], "ids": [], "sizes": [], "text": []}
         for r in blob.itertuples():
             g = Group(r.ids, r.sizes, r.text, length)
@@ -387,6 +408,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     groups, replies, shards = _prepare(docs.select("doc_id", "text"), length)
 
     def finish(blob: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        fresh()
         out: list[tuple] = []
         for r in blob.itertuples():
             g = Group(r.ids, r.sizes, r.text, length)
@@ -410,6 +432,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = docs.columns
 
     def finish(blob: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        fresh()
         out = []
         for r in blob.itertuples():
             g = Group(r.ids, r.sizes, r.text, length)

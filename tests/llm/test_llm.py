@@ -5,6 +5,7 @@ import hashlib
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 pytest.importorskip("sigloom.llm")
 
 from sigloom.llm import crf, gam, html, imatch, linededup, media, packing, sentences, simhash, substrings, suffix  # noqa: E402
-from sigloom.llm.common import Cut  # noqa: E402
+from sigloom.llm.common import Cut, fresh  # noqa: E402
 from sigloom.llm.components import connected  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -654,3 +655,38 @@ def test_pipeline(spark):
     alone = {(r.doc_id, r.piece, r.length) for r in out.collect()}
     assert alone == {(r.doc_id, r.piece, r.length) for r in p.run(spark, DATA).collect()}
 
+
+def test_removal_takes_little_memory():
+    half = np.random.default_rng(5).integers(97, 123, 2_000_000, dtype=np.uint8).tobytes()
+    g = substrings.Group(np.array([1, 2]).tobytes(), np.array([len(half)] * 2).tobytes(), substrings.squeeze(half + half), 50)
+    _, _, several, back = g.owners()
+    flags, raw = several.astype(np.uint8), g.text.tobytes()
+    low, count, doc, _, first, _ = g.snippets(flags, back, 1, 50)
+    text = b"".join([raw[a:b] for a, b in zip(low[first].tolist(), (low + count + 49)[first].tolist(), strict=True)])
+    asked = {"shard": [0], "g": [0], "ids": [g.ids[doc[first]].tobytes()], "sizes": [count[first].astype(np.uint8).tobytes()], "text": [substrings.squeezed_text(text)]}
+    own = pd.DataFrame({"g": [0], "kind": [0], "part": [0], "data": [flags.tobytes()], "more": [b""]})
+    rows = pd.concat([own, substrings._sort(pd.DataFrame(asked), 50)])
+    tracemalloc.start()
+    gone = substrings.removed(g, rows, 1, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not gone[: len(half)].any() and gone[len(half) :].all()
+    assert peak < 24 * len(g.text), peak / len(g.text)
+
+
+@pytest.mark.parametrize("length", [1, 3, 7])
+def test_covered_bytes(monkeypatch, length):
+    monkeypatch.setattr(substrings, "AT_ONCE", 8)
+    for seed in range(40):
+        starts = np.random.default_rng(seed).random(60) < 0.02 * seed
+        starts[len(starts) - length + 1 :] = False
+        want = [starts[max(0, i - length + 1) : i + 1].any() for i in range(len(starts))]
+        assert substrings.covered(starts, length).tolist() == want
+
+
+def test_workers_give_back_what_others_hold():
+    own = packing.chunks(packing.tokenizer_path())
+    fresh(packing.chunks)
+    assert packing.chunks(packing.tokenizer_path()) is own
+    fresh()
+    assert packing.chunks.cache_info().currsize == 0
