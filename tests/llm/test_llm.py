@@ -690,3 +690,33 @@ def test_workers_give_back_what_others_hold():
     assert packing.chunks(packing.tokenizer_path()) is own
     fresh()
     assert packing.chunks.cache_info().currsize == 0
+
+
+@pytest.mark.parametrize("words_", [1, 8])
+def test_sketches_rule_out_no_similar_pair(spark, monkeypatch, words_):
+    monkeypatch.setattr(linededup, "WORDS", words_)
+    rng = random.Random(4)
+    lines = []
+    for _ in range(30):
+        line = words(rng, rng.choice([2, 8, 40, 150]))
+        for edits in (0, 1, 2, 8):
+            chars = list(line)
+            for _ in range(edits):
+                chars[rng.randrange(len(chars))] = rng.choice("xyz")
+            lines.append("".join(chars))
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string").cache()
+    pairs = spark.createDataFrame([(i, j) for i in range(len(lines)) for j in range(i)], "a long, b long").cache()
+    near = {tuple(r) for r in linededup.may_be_similar(pairs, linededup._sketches(texts)).collect()}
+    want = {tuple(r) for r in linededup.similar_pairs(pairs, texts).collect()}
+    assert len(want) > 30 and want <= near
+    if words_ == 8:
+        assert len(near) < pairs.count() / 20
+
+
+def test_lines_with_sketches(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SKETCHED", 0)
+    made = []
+    monkeypatch.setattr(linededup, "may_be_similar", lambda p, s, real=linededup.may_be_similar: made.append(1) or real(p, s))
+    rows = [(i, t) for i, t in sample() if t is not None and i is not None]
+    got = sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(frame(spark, rows)).collect()), key=str)
+    assert made and got == brute_lines(rows)
