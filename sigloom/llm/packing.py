@@ -6,8 +6,8 @@ are dealt evenly into blocks of about ``BLOCK`` pieces.  A block is one packing
 ``ISLANDS`` islands: crossover injects whole well-filled bins of one parent into the other, drops the bins
 that hold their documents twice and best-fits the displaced documents.  After the first epoch every
 island's elite migrates to the next island of its block, and the better result of the second epoch stays.
-An island stops as soon as it reaches the lower bound.  The bins that end up loosely filled, a few in each
-block, are pooled for 64 blocks at a time and packed again.
+An island stops as soon as it reaches the lower bound, and a block with such an island has no second epoch.
+The bins that end up loosely filled, a few in each block, are pooled for 64 blocks at a time and packed again.
 
 Null texts count as empty and are one piece of one id.  Repeated rows, null doc_ids and ties are pieces
 like any other.  An empty table gives no rows.  Other columns are ignored.
@@ -227,6 +227,13 @@ def _from_rows(bins: np.ndarray, lengths: np.ndarray, size: int) -> list:
 COLUMNS = [x.split()[0] for x in PACKED.split(", ")]
 
 
+def states(islands: DataFrame, size: int) -> DataFrame:
+    """``(block, best, done)``: a block's best island, and whether that reached the lower bound: a second epoch would return it
+    as it is.  ``islands`` has every item of a block once for each island."""
+    state = islands.groupBy("block").agg(F.min(F.struct("n_bins", -F.col("fit"), "island")).alias("best"), F.sum("length").alias("total"))
+    return state.select("block", "best", (F.col("best.n_bins") * (size * ISLANDS) < F.col("total") + size * ISLANDS).alias("done"))
+
+
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """The contract's row for each piece: its place in its document and in its sequence."""
     cut = Cut(docs.sparkSession)
@@ -261,12 +268,18 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block:
 
     islands = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))
     one = cut.write(items.withColumn("island", islands).groupBy("block", "island").applyInPandas(first, f"{PACKED}, deal long"))
+    state = cut.write(states(one, length))
+    done = one.join(state.where("done"), "block").where("island = best.island").select(*COLUMNS)
+    rest = one.join(state.where("not done").select("block"), "block") if not state.where("not done").isEmpty() else None
     move = F.struct((F.col("island") + 1) % ISLANDS, F.lit(1))
     places = F.explode(F.array(F.struct(F.col("island").alias("island"), F.lit(0).alias("migrant")), F.struct(move["col1"].cast("int").alias("island"), F.lit(1).alias("migrant"))))
-    moved = one.select(*here, "bin", "offset", "room", "n_bins", "fit", "deal", places.alias("p")).select("*", "p.island", "p.migrant").drop("p")
-    two = moved.groupBy("block", "island").applyInPandas(second, PACKED)
-    best = Window.partitionBy("block")
-    two = two.withColumn("best", F.min(F.struct("n_bins", -F.col("fit"), "island")).over(best)).where("island = best.island").drop("best")
+    two = done
+    if rest is not None:
+        moved = rest.select(*here, "bin", "offset", "room", "n_bins", "fit", "deal", places.alias("p")).select("*", "p.island", "p.migrant").drop("p")
+        later = moved.groupBy("block", "island").applyInPandas(second, PACKED)
+        best = Window.partitionBy("block")
+        later = later.withColumn("best", F.min(F.struct("n_bins", -F.col("fit"), "island")).over(best)).where("island = best.island").drop("best")
+        two = done.union(later.select(*COLUMNS))
     two = cut.write(two)
     cut.drop(one)
     tight = two.where(F.col("room") <= length * (1 - TIGHT)).withColumn("sequence_id", F.col("block") * F.lit(1 << 32) + F.col("bin"))

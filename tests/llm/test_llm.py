@@ -720,3 +720,11 @@ def test_lines_with_sketches(spark, monkeypatch):
     rows = [(i, t) for i, t in sample() if t is not None and i is not None]
     got = sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(frame(spark, rows)).collect()), key=str)
     assert made and got == brute_lines(rows)
+
+
+def test_blocks_at_their_bound_are_done(spark):
+    sizes = {0: [60, 60, 40, 40], 1: [60, 60, 60], 2: [100], 3: [51, 51, 98]}
+    bins = {0: (3, 2), 1: (3, 3), 2: (1, 1), 3: (3, 3)}  # by island; the bounds are 2, 2, 1 and 2
+    rows = [(b, i, n, bins[b][i], 0.5) for b, own in sizes.items() for n in own for i in (0, 1)]
+    got = packing.states(spark.createDataFrame(rows, "block long, island int, length long, n_bins int, fit double"), 100).collect()
+    assert {r.block: (r.best.island, r.done) for r in got} == {0: (1, True), 1: (0, False), 2: (0, True), 3: (0, False)}
