@@ -157,6 +157,23 @@ def test_occurrences_are_segmented_apart(spark):
     assert own.encode(again, [5, 6], known=known) == first == [own.encode([t], [o])[0] for t, o in zip(again, (5, 6), strict=True)]
 
 
+def test_whole_texts_go_through_the_library(monkeypatch):
+    """Dropout as the library has it, under a seed of the document, whatever stands beside it; others by chunks."""
+    own = sentences.Pieces(sentences.model_path())
+    texts = [t for _, t in sample(6) if t] + ["<s> <0x41> </s>  lead\n\ttrail  ", "日本\x00 ﬁ Å\u2028"]
+    owners = list(range(len(texts)))
+    whole = own.encode(texts + ["a▁b", "\ud800 x", None], [*owners, 1, 2, 3])
+    assert whole[-1] == b"" and all(whole[-3:-1])
+    assert [own.decode(x) for x in whole[:-2]] == [*texts, "a▁b"]
+    monkeypatch.setattr(own, "keyed", None)
+    assert own.verbatim and [own.encode([t], [o])[0] for t, o in zip(texts, owners, strict=True)] == whole[: len(texts)]
+    again = texts[0] + " internationalization" * 50
+    plain = np.frombuffer(own.encode([again], [0], dropout=0)[0], "<u2").tolist()
+    ways = [own.encode([again], [o])[0] for o in range(20)]
+    assert len(set(ways)) == 20 and own.model.encode(again) == plain
+    assert own.encode([again], [0], seed=1) != ways[:1] and np.mean([len(w) // 2 for w in ways]) > len(plain)
+
+
 # 3
 
 
