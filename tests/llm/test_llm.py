@@ -244,6 +244,51 @@ def test_lines_by_prefix(spark):
     assert len(want) > 10 and want <= {(r.b, r.a) for r in got.collect()}
 
 
+def copies(rng, n, of=80, most=3):
+    """Copies of one line with up to so many edits, each too far from most others to be similar."""
+    base = words(rng, 40)[:of]
+    out = {base}
+    while len(out) < n:
+        x = list(base)
+        for _ in range(rng.randint(1, most)):
+            x[rng.randrange(len(x))] = rng.choice(["", "Z", "0", "Q7"])
+        out.add("".join(x))
+    return base, sorted(out)
+
+
+def test_many_near_copies_make_few_pairs(spark):
+    """Under a hub all components are found, by pairs that don't grow with the square of the group."""
+    rng = random.Random(21)
+    base, lines = copies(rng, 300)
+    cut = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    sets = [cut(x) for x in lines]
+    like = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+    def components(pairs):
+        own = list(range(len(lines)))
+        find = lambda i: i if own[i] == i else find(own[i])
+        for i, j in sorted(pairs):
+            own[max(find(i), find(j))] = min(find(i), find(j))
+        return [find(i) for i in range(len(lines))]
+
+    for hub in (lines.index(base), 7, 150):
+        df = spark.createDataFrame([(i, i, x, hub, lines[hub]) for i, x in enumerate(lines)], "id long, root long, line string, hub long, against string")
+        got = {tuple(r) for r in linededup.prefix_pairs(df).collect()}
+        assert components(got & like) == components(like)
+        if lines[hub] == base:
+            assert len(got) < 12 * len(lines)
+    assert len(set(components(like))) > 5
+
+
+def test_short_lines_share_no_single_frequent_shingle(spark):
+    """Lines of one frequent shingle in common make no large key."""
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    rows = [(i, f"{word(9)} the {word(n)}") for i, n in enumerate([6, 12, 16, 22, 30] * 40)]
+    keys = linededup.signed(spark.createDataFrame(rows, "id long, line string")).selectExpr("id", "explode(keys) as key")
+    assert keys.groupBy("key").count().where("count > 3").count() == 0
+
+
 def test_lines_of_long_words(spark):
     rng = random.Random(9)
     long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(19)) for _ in range(8)]
