@@ -1,7 +1,8 @@
 """Best-fit packing into fixed-length sequences by a grouping genetic algorithm on islands.
 
 Texts are tokenised by white-space-free chunks: no token of this vocabulary's splitter spans ASCII white
-space, so each distinct chunk is encoded once a task and a text's ids are its chunks' ids joined.  Pieces
+space, so a text's ids are its chunks' ids joined.  The distinct chunks of some texts are looked up at once, and a
+worker remembers a bounded number of them.  Pieces
 are dealt evenly into blocks of about ``BLOCK`` pieces.  A block is one packing problem, evolved on
 ``ISLANDS`` islands: crossover injects whole well-filled bins of one parent into the other, drops the bins
 that hold their documents twice and best-fits the displaced documents.  After the first epoch every
@@ -15,9 +16,9 @@ like any other.  An empty table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import random
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,55 +26,162 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ROWS_PER_BATCH, Cut, _arrow_schema, fresh, held
+from sigloom.llm.common import Cut, _arrow_schema, fresh, held
 
 LENGTH, BLOCK, ISLANDS, POPULATION, GENERATIONS, POOLED = 2048, 8192, 2, 4, 6, 64
 TIGHT = 0.995
-HELD = 1_000_000
+#: Chunks that a worker remembers of those the library encodes, and bytes beyond which none is remembered or merged in rows.
+HELD, LONG = 50_000, 64
+#: Bytes of texts whose ids are made at once, if there is more than one.
+AT_ONCE = 4 << 20
 
 
-class Chunks(dict):
-    """Ids of white-space-free chunks as little-endian unsigned 32-bit bytes, encoded when first met.
+class Merges:
+    """The vocabulary's merges, for many runs at once: in each step every run of the present width merges its pair of lowest rank,
+    the leftmost of equal ones, and meets the shorter runs.  As the library does it, one merge after another."""
 
-    A chunk of letters and marks is put together from its lower-cased letters and its marks, which the
-    vocabulary's splitter always parts; any other chunk is encoded as it stands."""
+    NONE, BITS = np.int32(np.iinfo(np.int32).max), 18
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        signs = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}  # the byte-level alphabet
+        signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in signs)}
+        self.inner, self.last = (np.array([vocab[signs[b] + x] for b in range(256)], np.int32) for x in ("", end))
+        self.made = np.array([vocab[x + y] for x, y in model["merges"]], np.int32)
+        keys = [vocab[x] << 16 | vocab[y] for x, y in model["merges"]]
+        self.keys, self.ranks = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, self.NONE)
+        for rank, (key, at) in enumerate(zip(keys, self.slots(np.array(keys)).tolist(), strict=True)):
+            while self.keys[at] not in (-1, key):
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.ranks[at] = key, rank
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.BITS)
+
+    def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs ``x, y``, ``NONE`` where no merge has them."""
+        keys = x.astype(np.int64) << 16 | y
+        at = self.slots(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.ranks[at], self.NONE)
+        seek = np.flatnonzero((there != keys) & (there != -1))
+        while len(seek):
+            at[seek] = (at[seek] + 1) % len(self.keys)
+            there = self.keys[at[seek]]
+            out[seek] = np.where(there == keys[seek], self.ranks[at[seek]], self.NONE)
+            seek = seek[(there != keys[seek]) & (there != -1)]
+        return out
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of bytes, one behind the other, and how many each has."""
+        order = np.argsort(sizes, kind="stable")
+        groups, n, done = np.searchsorted(sizes[order], np.arange(int(sizes.max(initial=0)) + 2)), np.zeros(len(sizes), np.int32), []
+        rows, ids, ranks = np.zeros(0, np.int64), np.zeros((0, 0), np.int32), np.zeros((0, 0), np.int32)
+        for width in range(len(groups) - 2, 0, -1):
+            own = order[groups[width] : groups[width + 1]]
+            if len(own):
+                text = raw[starts[own][:, None] + np.arange(width)]
+                own_ids = self.inner[text]
+                own_ids[:, -1] = self.last[text[:, -1]]
+                own_ranks = self.rank(own_ids[:, :-1].ravel(), own_ids[:, 1:].ravel()).reshape(len(own), width - 1)
+                rows, ids, ranks = (np.concatenate(x) if len(rows) else x[1] for x in ((rows, own), (ids, own_ids), (ranks, own_ranks)))
+            if not len(rows):
+                continue
+            at = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+            low = ranks[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), self.NONE)
+            over = low == self.NONE
+            n[rows[over]] = width
+            done.append((rows[over], ids[over]))
+            rows, ids, ranks, at, low = (x[~over] for x in (rows, ids, ranks, at, low))
+            each, stay = np.arange(len(rows)), np.ones(ids.shape, bool)
+            stay[each, at + 1] = False
+            ids[each, at] = self.made[low]
+            ids = ids[stay].reshape(len(rows), width - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[each, at] = False
+            ranks = ranks[stay].reshape(len(rows), max(width - 2, 0))
+            for side in (-1, 0):
+                k = np.flatnonzero((at + side >= 0) & (at + side < width - 2))
+                ranks[k, at[k] + side] = self.rank(ids[k, at[k] + side], ids[k, at[k] + side + 1])
+        out, firsts = np.zeros(int(n.sum(dtype=np.int64)), "<u4"), np.cumsum(n, dtype=np.int64) - n
+        for which, found in done:
+            out[firsts[which][:, None] + np.arange(found.shape[1])] = found
+        return out, n
+
+
+class Chunks:
+    """Ids of texts as little-endian unsigned 32-bit bytes, made of those of the distinct white-space-free chunks of some texts.
+
+    A chunk of letters and marks is put together from its lower-cased letters and its marks, which the vocabulary's splitter
+    always parts; of the distinct ones all are merged at once.  Any other chunk is encoded by the library as it stands."""
 
     #: Letters that lower-casing and composition leave as they are, then marks that form one token run.
-    PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?*#$%&|]*)")
+    PLAIN = "^(?P<letters>[a-zß-öø-ÿ]+)(?P<marks>[.,;:!?*#$%&|]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer, self.merges, self.known = Tokenizer.from_file(path), Merges(path), {}
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, text: str) -> bytes:
-        got = self.parts.get(text)
+    def encode(self, text: str) -> np.ndarray:
+        got = self.known.get(text)
         if got is None:
-            if len(self.parts) > HELD // 2:
-                self.parts.clear()
-            got = self.parts[text] = self.encode(text)
+            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            if len(text) <= LONG:
+                if len(self.known) >= HELD:
+                    self.known.clear()
+                self.known[text] = got
         return got
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        m = self.PLAIN.fullmatch(text.lower())
-        got = self.encode(text) if m is None else self.part(m[1]) + self.part(m[2]) if m[2] else self.part(m[1])
-        self[chunk] = got
-        return got
+    def parts(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts``, one behind the other, and how many each has; the ``whole`` ones go to the library, and long ones."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        sizes = np.diff(ends)
+        whole = whole | (sizes > LONG)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        ids, n = self.merges.encode(raw, ends[:-1].astype(np.int64), np.where(whole, 0, sizes))
+        at = np.flatnonzero(whole)
+        if len(at):
+            more = [self.encode(x) for x in texts.take(pa.array(at)).to_pylist()]
+            # what the library has made stands behind the rest, and is put in its place
+            places, n[at] = np.cumsum(n, dtype=np.int64) - n, [len(x) for x in more]
+            places[at] = len(ids) + np.cumsum([0, *(len(x) for x in more)])[:-1]
+            ids = np.concatenate([ids, *more])[np.repeat(places - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(int(n.sum(dtype=np.int64)))]
+        return ids, n
+
+    def blobs(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each of ``texts``."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        chunks, n = words.dictionary, len(words.dictionary)
+        plain = pc.extract_regex(pc.utf8_lower(chunks), self.PLAIN)
+        whole = pc.or_(pc.is_null(plain), pc.match_substring(chunks, "İ"))  # the one letter that becomes two
+        both = pa.concat_arrays([pc.if_else(whole, chunks, pc.struct_field(plain, 0)), pc.if_else(whole, "", pc.struct_field(plain, 1))]).dictionary_encode()
+        codes, odd = both.indices.to_numpy(), np.zeros(len(both.dictionary), bool)
+        odd[codes[:n][whole.to_numpy(zero_copy_only=False)]] = True
+        ids, sizes = _joined(*self.parts(both.dictionary, odd), codes.reshape(2, n).T.ravel())
+        ids, sizes = _joined(ids, sizes.reshape(n, 2).sum(1), words.indices.to_numpy())
+        ends, counts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pc.list_value_length(lists).to_numpy()
+        cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def ids(self, text: str | None) -> bytes:
-        if len(self) > HELD:
-            self.clear()
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        return self.blobs(pa.array([(text or "").encode("utf-8", "replace").decode()], pa.string()))[0]
+
+
+def _joined(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ``ids`` with these ``sizes`` those at ``places``, one behind the other, and their sizes."""
+    n = sizes[places]
+    back = (np.cumsum(sizes, dtype=np.int64) - sizes)[places] - (np.cumsum(n, dtype=np.int64) - n)
+    return ids[np.repeat(back, n) + np.arange(int(n.sum(dtype=np.int64)))], n
 
 
 @held
@@ -92,6 +200,17 @@ def tokenizer_path() -> str:
 ITEMS = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch (doc_id, text)`` in slices of one row or of up to ``AT_ONCE`` bytes."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        most = (ends[lo - 1] if lo else 0) + AT_ONCE
+        hi = max(lo + 1, int(np.searchsorted(ends, most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """A row for each piece of each document, with an evenly spread number to deal it by."""
     arrow = _arrow_schema(ITEMS)
@@ -100,11 +219,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         fresh(chunks)
         own, at, task = chunks(path), 0, TaskContext.get().partitionId()
         for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS_PER_BATCH):
-                part = whole.slice(lo, ROWS_PER_BATCH)
+            for part in slices(whole):
                 rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    blob = own.ids(text) + b"\x00\x00\x00\x00"
+                for doc, blob in zip(part.column(0).to_pylist(), own.blobs(part.column(1)), strict=True):
+                    blob += b"\x00\x00\x00\x00"
                     for k, i in enumerate(range(0, len(blob), 4 * length)):
                         piece = blob[i : i + 4 * length]
                         rows.append((doc, k, i // 4, len(piece) // 4, zlib.crc32(piece), (task << 40) + at))

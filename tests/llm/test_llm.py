@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -458,6 +459,35 @@ def test_chunks_equal_whole_texts():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_merged_runs_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own, whole, rng = packing.Chunks(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path()), random.Random(31)
+    word = lambda n, of="eeetaoinshrdluEAßéàÿ": "".join(rng.choices(of, k=n)) + rng.choice(["", "", ",", "...", "!?"])
+    texts = ["", " ", "\n a\tb  c\x0b\x0c\r", None, " ".join(map(chr, [*range(33, 0xD800), *range(0xE000, 0x2FFFF)])), "İ İa Aİ,"]
+    texts += [" ".join(word(rng.randint(1, 70)) for _ in range(400)) for _ in range(10)] + ["a" * 64 + " " + "a" * 65 + " " + "é" * 32 + " " + "é" * 33 + " " + "." * 70 + " x" + "!" * 70, word(3000)]
+    texts += [" ".join(word(rng.randint(2, 9), "etaoins") for _ in range(3000))]
+    got = own.blobs(pa.array(texts, pa.string()))
+    for t, blob in zip(texts, got, strict=True):
+        assert np.frombuffer(blob, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids == np.frombuffer(own.ids(t), "<u4").tolist()
+    assert own.blobs(pa.array(texts, pa.string()).slice(3, 4)) == got[3:7] and own.blobs(pa.array([], pa.string())) == []
+    many = pa.record_batch({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
+    assert pa.Table.from_batches(packing.slices(many)).equals(pa.Table.from_batches([many]))
+
+
+def test_tokenising_keeps_no_words():
+    rng = random.Random(32)
+    own = packing.Chunks(packing.tokenizer_path())
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=9)) + rng.choice(",.") for _ in range(20_000)) for _ in range(5)]
+    own.ids(texts[0])
+    tracemalloc.start()
+    for t in texts[1:]:
+        own.ids(t)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2 << 20, held
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
