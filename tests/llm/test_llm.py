@@ -281,6 +281,21 @@ def test_many_near_copies_make_few_pairs(spark):
     assert len(set(components(like))) > 5
 
 
+@pytest.mark.parametrize("share", [0, 30])
+def test_lines_unlike_their_hub_seldom_meet(spark, share):
+    """Lines that have little of the hub, or half of it, don't meet in what all of them lack; all similar ones are found."""
+    rng = random.Random(23)
+    base = words(rng, 60)
+    lines = [base, *(base[: len(base) * share // 60] + " " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=150)) for _ in range(100))]
+    lines += [x + "Q7" for x in lines[50:]] + [base[:-1] + "Z"]
+    df = spark.createDataFrame([(i, i, x, 0, base) for i, x in enumerate(lines)], "id long, root long, line string, hub long, against string")
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    like = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(like) > 50 and like <= {tuple(r) for r in linededup.prefix_pairs(df).collect()}
+    met = linededup.prefix_meetings(df)[0].count()
+    assert met < 5000, met
+
+
 def test_short_lines_share_no_single_frequent_shingle(spark):
     """Lines of one frequent shingle in common make no large key."""
     rng = random.Random(22)
