@@ -5,6 +5,7 @@ import hashlib
 
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -13,11 +14,12 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("sigloom.llm")
 
 from sigloom.llm import crf, gam, html, imatch, linededup, media, packing, sentences, simhash, substrings, suffix  # noqa: E402
-from sigloom.llm.common import Cut, fresh  # noqa: E402
+from sigloom.llm.common import CLEANUP, Cut, fresh  # noqa: E402
 from sigloom.llm.components import connected  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -53,6 +55,26 @@ def none(spark):
     return frame(spark, [])
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b.name() for b in iter_java(manager.getAllBlocks()) if b.name().startswith("shuffle_")}
+
+    def iter_java(seq):
+        it = seq.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    cut, before, setting = Cut(spark), files(), spark.conf.get(CLEANUP)
+    df = spark.range(5000).groupBy((F.col("id") % 999).alias("k")).count()
+    written = [cut.write(df), cut.write_by(df, "k", 2)]
+    for _ in range(100):  # executors are told to remove them, which isn't waited for
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == setting
+    assert [x.count() for x in written] == [999, 999]
+
+
 # Components
 
 
