@@ -241,6 +241,28 @@ def test_lines(spark, monkeypatch, paired):
     assert sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()), key=str) == brute_lines(rows)
 
 
+def test_line_keys_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PART", 16)
+    monkeypatch.setattr(linededup, "SMALL", -1)
+    rows = sample(6)
+    assert sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(frame(spark, rows)).collect()), key=str) == brute_lines(rows)
+
+
+@pytest.mark.parametrize("sieve", [1 << 20, 16])
+def test_large_joins_shuffle_what_can_match(spark, monkeypatch, sieve):
+    """Of 20,000 lines 200 are wanted: beyond SMALL only these and a few others go into the join's shuffle."""
+    monkeypatch.setattr(linededup, "SMALL", -1)
+    monkeypatch.setattr(linededup, "SIEVE", sieve)
+    df = spark.range(20000).select(F.xxhash64("id").alias("id"), F.col("id").alias("line"))
+    wanted = df.where("line % 100 = 0").select("id")
+    got = linededup._among(df, wanted)
+    assert sorted(r.line for r in got.collect()) == list(range(0, 20000, 100))
+    left = linededup._sifted(df, wanted)
+    assert left.columns == df.columns and left.where("line % 100 = 0").count() == 200
+    assert left.count() < (2500 if sieve > 16 else 5000)
+    assert linededup._sifted(df, wanted.limit(0)).count() == 0
+
+
 def linked(spark, *lines):
     rows = list(enumerate(lines))
     got = linededup.dedup_lines(frame(spark, rows))
