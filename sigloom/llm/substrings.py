@@ -6,9 +6,9 @@
    equal strings have equal owners.  Groups send the distinct hashes of their owners; hashes met in one
    document only are ruled out, exactly, as none of their strings can repeat.  This is a candidate search.
 3. For each remaining owner a group sends the snippet around it that holds the strings it owns, once for
-   equal snippets, to the shard of the owner's hash.  A shard sorts all suffixes of its distinct snippets by
-   external induced sorting (``suffix``); neighbours with a common prefix of ``LENGTH`` are equal strings,
-   and each class gets its smallest doc_id.
+   equal snippets, to the shard of the owner's hash.  A shard rules out, exactly, the strings whose hash comes in
+   one place of its distinct snippets only, and sorts all suffixes of the rest by external induced sorting
+   (``suffix``); neighbours with a common prefix of ``LENGTH`` are equal strings, and each class gets its smallest doc_id.
 4. The doc_ids go back to the groups, where each occurrence in a document of larger doc_id is removed.
 
 Owners met in more than ``HOT`` places send their strings one by one, to shards by content, so that one
@@ -267,6 +267,42 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": rows["g"], "kind": 0, "part": rows["bucket"], "data": data, "more": [b""] * len(rows)})
 
 
+def recurring(t: np.ndarray, first: np.ndarray, strings: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the stretches of those starts of strings of ``length`` whose hash comes again in ``t``: all strings that
+    do, and few others.  Snippet i has ``strings[i]`` starts from ``first[i]`` on, and at least one place behind them has none."""
+    n = len(t)
+    pad = np.concatenate([t, np.zeros(length + 8, np.uint8)])
+    steps = [*range(8, length - 7, 8), length - 8]
+    h = np.empty(n, np.uint64)
+    for lo in range(0, n, STEP):
+        m = min(STEP, n - lo)
+        w = np.ndarray((m + length,), "<u8", pad.data, lo, (1,))
+        x = w[:m] * A
+        for at in steps:
+            x ^= x >> np.uint64(29)
+            x += w[at : at + m]
+            x *= B
+        h[lo : lo + m] = x ^ (x >> np.uint64(32))
+    edge = np.zeros(n + 1, np.int8)
+    edge[first] += 1
+    edge[first + strings] -= 1
+    starts = np.cumsum(edge[:n], dtype=np.int8) > 0
+    own = h[starts]
+    own.sort()
+    again = own[1:][own[1:] == own[:-1]]
+    del own
+    # a table of remainders leaves few to look up
+    mask = np.uint64((1 << max(10, (8 * len(again)).bit_length())) - 1)
+    held = np.zeros(int(mask) + 1, bool)
+    held[(again & mask).astype(np.int64)] = True
+    starts &= held[(h & mask).astype(np.int64)]
+    asked = np.flatnonzero(starts)
+    asked_h = h[asked]
+    starts[asked[again[np.minimum(np.searchsorted(again, asked_h), len(again) - 1)] != asked_h] if len(again) else asked] = False
+    turns = np.flatnonzero(np.diff(starts.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return turns[::2], turns[1::2]
+
+
 def _sort(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """The smallest doc_id of each string of a shard's snippets, sent back by group as runs of strings."""
     fresh()
@@ -286,20 +322,27 @@ def _sort(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     sizes = np.fromiter(map(len, seen), np.int64, len(seen))
     del seen
     ends = np.cumsum(sizes + 1) - 1
-    places, common = sort_suffixes(t, budget=QUEUES, cap=length)
-    classes = np.cumsum(common < length, dtype=np.int32)
-    del common
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[places]
-    ok = places + length <= ends[owner]
-    places, classes, owner = places[ok], classes[ok], owner[ok]
-    cuts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if len(classes) else np.zeros(0, np.int64)
-    mins = np.minimum.reduceat(least[owner], cuts)
-    del classes, owner, ok
-    best = np.empty(len(t), np.int64)
-    best[places] = np.repeat(mins, np.diff(np.append(cuts, len(places))))
-    del places
     first = ends - sizes
     strings = sizes - length + 1
+    best = np.repeat(least, sizes + 1)
+    # only what other snippets have too is sorted: a string of one snippet is in no other document than the snippet is
+    begin, stop = recurring(t, first, strings, length)
+    if len(begin):
+        size = stop - begin + length  # with an end mark behind each piece
+        marks = np.cumsum(size) - 1
+        own = np.arange(marks[-1] + 1)
+        ok = own + length <= np.repeat(marks, size)
+        own += np.repeat(begin - (marks + 1 - size), size)
+        pieces = t[own]
+        pieces[marks] = 0
+        places, common = sort_suffixes(pieces, budget=QUEUES, cap=length)
+        classes = np.cumsum(common < length, dtype=np.int32)
+        del common, pieces
+        ok = ok[places]
+        places, classes = own[places[ok]], classes[ok]
+        cuts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+        best[places] = np.repeat(np.minimum.reduceat(best[places], cuts), np.diff(np.append(cuts, len(places))))
+        del places, classes, own, ok
     data, more = [], []
     total = np.concatenate([[0], np.cumsum(strings[number])])[held]  # strings before each message
     x = 0

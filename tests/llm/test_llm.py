@@ -664,6 +664,27 @@ def test_no_repeats_in_nothing(none):
     assert substrings.digests(none).count() == 0 and substrings.drop_repeats(none).count() == 0
 
 
+def test_only_recurring_strings_are_sorted(monkeypatch):
+    """Snippets that share an anchor in ever other surroundings leave little to sort, and the same doc_ids."""
+    rng, sent = random.Random(8), []
+    anchor, tail = "".join(rng.choices("abcdef", k=16)), "".join(rng.choices("abcdef", k=40))
+    noise = lambda: "".join(rng.choices("abcdefghijklmnop", k=34))
+    snippets = [(noise() + anchor + noise()).encode() for _ in range(300)] + [(noise() + anchor + tail[:34]).encode() for _ in range(2)]
+    rows = pd.DataFrame({"shard": 0, "g": range(302), "ids": [np.array([500 - i]).tobytes() for i in range(302)], "sizes": [bytes([len(x) - 49]) for x in snippets], "text": snippets})
+    monkeypatch.setattr(substrings, "sort_suffixes", lambda t, real=substrings.sort_suffixes, **a: sent.append(len(t)) or real(t, **a))
+    got = substrings._sort(rows, 50)
+    first = {}
+    for i, x in enumerate(snippets):
+        for j in range(len(x) - 49):
+            first[x[j : j + 50]] = min(first.get(x[j : j + 50], 999), 500 - i)
+    for x, data, more in zip(snippets, got["data"], got["more"], strict=True):
+        runs = np.repeat(np.frombuffer(more, np.int64), np.frombuffer(data, np.uint8)).tolist()
+        assert runs == [first[x[j : j + 50]] for j in range(len(x) - 49)]
+    assert sent and sum(sent) < sum(map(len, snippets)) / 20
+    del sent[:]
+    assert len(substrings._sort(rows[:300], 50)) == 300 and sum(sent) < 2000
+
+
 # 9
 
 
