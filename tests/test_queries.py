@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and DataFrame operators on small inputs."""
 
+import dataclasses
 import datetime as dt
 import os
 import random
@@ -104,6 +105,35 @@ def test_clusters_with_an_innocuous_pool(spark, folder):
     assert not any("SECRETONE" in "|".join(t) and "OTHERKEY" in "|".join(t) for t in got)
 
 
+def test_clusters_with_a_background_that_stays_where_it_is(spark, folder, monkeypatch):
+    """Beyond BACKGROUND symbols the innocuous pool was refused."""
+    want = [tuple(r) for r in catalog.hier_cluster_roots(spark, folder["clustered"]).collect()]
+    monkeypatch.setattr(catalog, "BACKGROUND", 5)
+    assert [tuple(r) for r in catalog.hier_cluster_roots(spark, folder["clustered"]).collect()] == want and want
+
+
+def test_learning_in_rounds_equals_learning_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdef", k=7))
+    marks = [word() for _ in range(4)]
+    rows = [(p, i, " ".join([word(), marks[(p + i // 4) % 4], word(), marks[i % 4] if i < 6 else word()])) for p in range(3) for i in range(8)]
+    rows += [(3, 0, "alone"), (4, 0, None), (4, 1, "")]
+    streams = [" ".join([word(), word()] + [m for m in marks[:2] if rng.random() < 0.3]) for _ in range(60)] + [""]
+    pools = spark.createDataFrame(rows, "pool_id int, sample_idx long, text string")
+    background = spark.createDataFrame([(s,) for s in streams] + [(None,)], "s string").repartition(4)
+    monkeypatch.setattr(signatures, "BLOCK", 400)
+    monkeypatch.setattr(signatures, "SIGS", 2)
+    for empty in (False, True):
+        background = background.limit(0) if empty else background
+        for most in (5, 20):
+            learner = signatures.BayesTree(minlen=3, spec_threshold=0.5, min_cluster_size=2, max_fp_count=most)
+            good = Innocuous.gather(background, "s", shares=True)
+            want = signatures.train_pools(pools, dataclasses.replace(learner, innocuous=good)).collect()
+            got = signatures.train_pools_apart(pools, learner, background, "s")
+            key = lambda r: (r.pool_id, r.sig)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and sorted(want, key=key)
+
+
 def test_backtracking_undoes_what_matches_innocuous_streams():
     samples = ["GET /index one", "two GET /index", "GET /index three"]
     kept = signatures.BayesTree(minlen=6, spec_threshold=1, max_fp_count=5)
