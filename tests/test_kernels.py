@@ -36,6 +36,27 @@ def test_common_substrings(seed):
         assert mining.common_substrings(samples, 1, occ) == brute_substrings(samples, 1, occ)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pruning_needs_no_strings_without_occurrences_of_their_own(seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        alphabet = "ab" if rng.random() < 0.5 else "abcdef"
+        samples = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(rng.randint(2, 5))]
+        samples += [rng.choice(samples) + rng.choice(["", "a", samples[0]]) for _ in range(2)] + [rng.choice(samples) * 2]
+        for occ in (2, 3):
+            some = mining.common_substrings(samples, 1, occ, False)
+            want = mining.pruned(mining.common_substrings(samples, 1, occ), occ)
+            assert list(mining.pruned(some, occ).items()) == list(want.items())
+
+
+def test_long_copies_make_few_tokens():
+    rng = random.Random(1)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20000))
+    found = mining.common_substrings([text, "x" + text], 6, 2, False)
+    assert text in found and len(found) < 100
+    assert mining.pruned(found, 2)[text] == {0: 1, 1: 1}
+
+
 def test_pruning_takes_what_lies_in_longer_tokens():
     tokens = mining.common_substrings(["xabc1", "yabc2"], 2, 2)
     assert set(tokens) == {"abc", "bc"}
